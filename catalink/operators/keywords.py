@@ -33,7 +33,7 @@ def phrase_dictionary(rows: DataFrame, fields: str = "fields", marker: str = "un
                       shortest: int = 3) -> DataFrame:
     """Distinct phrases of rows without the ``marker`` field, long enough and no stop word."""
     phrases = rows.where(~F.array_contains(fields, marker)).select(
-        F.explode(F.transform(fields, phrase_key)).alias("phrase"))
+        F.explode(F.transform(fields, lambda f: phrase_key(f))).alias("phrase"))
     return phrases.where(
         (F.length("phrase") >= shortest) & ~F.col("phrase").isin(PHRASE_STOP_WORDS)
     ).distinct()

@@ -15,5 +15,5 @@ STORE_METADATA = "apk STRUCT<md5sum: STRING, package: STRING>"
 SCAN_V1 = "report ARRAY<STRING>"
 SCAN_V2 = "resource STRING, positives DOUBLE"
 EVENT = (
-    "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 )
