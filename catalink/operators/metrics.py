@@ -21,7 +21,7 @@ def scalar(df: DataFrame):
 def long_metrics(row: DataFrame) -> DataFrame:
     """One-row metrics as (metric, value) rows."""
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value"))
         for c in row.columns])
     return row.select(F.inline(pairs))
 
