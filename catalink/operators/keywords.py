@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from catalink.functions.text import phrase_key, phrase_words, prep_words, sub_sequences, term_runs
 from catalink.operators.joins import lookup_join
-from catalink.operators.vectorize import hashed_bucket
+from catalink.operators.vectorize import hashed_bucket, hashed_idf
 from catalink.words import PHRASE_STOP_WORDS
 
 
@@ -59,11 +59,9 @@ def post_keywords(posts: DataFrame, key: str = "post_id", tokens: str = "tokens"
     Weights are hashed, so at most ``buckets`` frequencies are broadcast. A token that
     occurs several times counts once per occurrence; ties go to the smaller term.
     """
-    n_docs = posts.count()
     runs = posts.select(key, F.size(tokens).alias("n_tokens"), F.inline(term_runs(F.col(tokens))))
     runs = runs.withColumn("bucket", hashed_bucket(F.col("term"), buckets))
-    frequency = runs.select(key, "bucket").distinct().groupBy("bucket").agg(
-        F.log((F.lit(n_docs) + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("idf"))
+    frequency = hashed_idf(posts, tokens, buckets)
     in_post = W.partitionBy(key)
     # Both windows hash by post, so they share one shuffle; a group is one post's terms.
     weighted = runs.join(F.broadcast(frequency), "bucket").withColumn(

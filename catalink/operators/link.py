@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from catalink.functions.ids import row_key
@@ -58,21 +59,25 @@ def item_weights(items: DataFrame, key: str, model: TermModel, min_active: int =
     )
 
 
-def _build_index(entries: pa.Table, vocabulary: pa.Table, key: str, form: str) -> ItemIndex:
-    items = pc.unique(entries[key]).to_numpy(zero_copy_only=False)
-    items = np.sort(items)
-    column = np.searchsorted(items, entries[key].to_numpy(zero_copy_only=False)).astype(np.int32)
-    idx = entries["idx"].to_numpy()
+def _build_index(entries: pa.Table, model: TermModel, key: str, min_active: int) -> ItemIndex:
+    """Normalise the fetched item weights and sort them by term."""
+    items, column = np.unique(entries[key].to_numpy(zero_copy_only=False), return_inverse=True)
+    idx, weight = entries["idx"].to_numpy(), entries["weight"].to_numpy()
+    active = np.bincount(column, minlength=len(items))
+    norms = np.sqrt(np.bincount(column, weights=weight * weight, minlength=len(items)).astype(float))
+    usable = (active >= min_active) & (norms > 0)
+    keep = usable[column]
+    column, idx, weight = column[keep], idx[keep], weight[keep] / norms[column[keep]]
+    column = (np.cumsum(usable) - 1)[column].astype(np.int32)
     order = np.lexsort((column, idx))
-    n_terms = vocabulary.num_rows
-    starts = np.zeros(n_terms + 1, dtype=np.int64)
-    np.cumsum(np.bincount(idx, minlength=n_terms), out=starts[1:])
-    idf = np.empty(n_terms)
-    ids = vocabulary["idx"].to_numpy()
-    idf[ids] = vocabulary["idf"].to_numpy()
+    starts = np.zeros(model.size + 1, dtype=np.int64)
+    np.cumsum(np.bincount(idx, minlength=model.size), out=starts[1:])
+    ids = model.entries["idx"].to_numpy()
+    idf = np.empty(model.size)
+    idf[ids] = model.entries["idf"].to_numpy()
     return ItemIndex(
-        items, dict(zip(vocabulary["term"].to_pylist(), ids.tolist())), idf, starts,
-        column[order], entries["weight"].to_numpy()[order], form,
+        items[usable], dict(zip(model.entries["term"].to_pylist(), ids.tolist())), idf, starts,
+        column[order], weight[order], model.form,
     )
 
 
@@ -103,7 +108,8 @@ def _batch_weights(batch: pa.RecordBatch, index: ItemIndex):
 
 def _score_blocks(n_rows: int, rows, terms, weight, index: ItemIndex):
     """Yield (first row, score matrix) blocks; a block is bounded by BLOCK_CELLS."""
-    norms = np.sqrt(np.bincount(rows, weights=weight * weight, minlength=n_rows))
+    # bincount over nothing yields ints whatever the weights are
+    norms = np.sqrt(np.bincount(rows, weights=weight * weight, minlength=n_rows).astype(float))
     n_items = len(index.items)
     span = index.starts[terms + 1] - index.starts[terms]
     work = np.bincount(rows, weights=span, minlength=n_rows) + n_items
@@ -121,7 +127,7 @@ def _score_blocks(n_rows: int, rows, terms, weight, index: ItemIndex):
         cell = np.repeat(rows[lo:hi] - first, reps) * n_items + index.columns[posting]
         product = np.repeat(weight[lo:hi], reps) * index.values[posting]
         scores = np.bincount(cell, weights=product, minlength=(last - first) * n_items)
-        scores = scores.reshape(last - first, n_items)
+        scores = scores.astype(float).reshape(last - first, n_items)
         length = norms[first:last, None]
         scores = np.divide(scores, length, out=np.zeros_like(scores), where=length > 0)
         yield first, np.round(scores, DECIMALS)
@@ -131,19 +137,18 @@ def _post_batches(posts: DataFrame, key: str, carried: tuple[str, ...] = ()) ->
     return posts.select(key, *carried, term_runs(F.col("terms")).alias("runs"))
 
 
-def _index_or_none(items: DataFrame, key: str, model: TermModel, min_active: int,
-                   max_entries: int):
-    """The shipped index when the item side is small enough, else its weights as a table."""
-    weights = item_weights(items, key, model, min_active)
+def _shipped_index(items: DataFrame, key: str, model: TermModel, min_active: int,
+                   max_entries: int) -> Broadcast | None:
+    """The item side as a shipped index when it is small enough, else None."""
     if max_entries <= 0:
-        return None, weights
+        return None
     # One row more than the bound tells whether the bound holds, whatever the true size.
-    entries = weights.select(key, "idx", "weight").limit(max_entries + 1).toArrow()
+    weights = model.weights(items.select(key, "terms")).select(key, "idx", "weight")
+    entries = weights.limit(max_entries + 1).toArrow()
     if entries.num_rows > max_entries:
-        return None, weights
-    vocabulary = model.vocabulary.select("term", "idx", "idf").toArrow()
-    index = _build_index(entries, vocabulary, key, model.form)
-    return items.sparkSession.sparkContext.broadcast(index), weights
+        return None
+    index = _build_index(entries, model, key, min_active)
+    return items.sparkSession.sparkContext.broadcast(index)
 
 
 def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key: str = "post_id",
@@ -154,8 +159,9 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
     Ties go to the smallest item id. Posts and items with fewer than ``min_active`` known
     terms take no part.
     """
-    shipped, weights = _index_or_none(items, item_key, model, min_active, max_entries)
+    shipped = _shipped_index(items, item_key, model, min_active, max_entries)
     if shipped is None:
+        weights = item_weights(items, item_key, model, min_active)
         pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active)
         best = F.max_by(F.struct(item_key, "similarity"), F.struct("similarity", _descending(
             pairs, item_key)))
@@ -220,9 +226,10 @@ def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
     Pairs that share no term have similarity 0 and are left out. ``matches`` is
     ``array<struct<item, similarity>>`` in item order.
     """
-    shipped, weights = _index_or_none(items, item_key, model, min_active, max_entries)
+    shipped = _shipped_index(items, item_key, model, min_active, max_entries)
     entry = T.StructType([items.schema[item_key], T.StructField("similarity", T.DoubleType())])
     if shipped is None:
+        weights = item_weights(items, item_key, model, min_active)
         pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active)
         return pairs.where(F.col("similarity") > threshold).groupBy(post_key).agg(
             F.sort_array(F.collect_list(F.struct(item_key, "similarity"))).alias("matches")
@@ -262,9 +269,10 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
     ``rank`` is the number of items strictly more similar than the true one (0 is right),
     ``confidence`` the best similarity. Posts whose true item is not in ``items`` drop out.
     """
-    shipped, weights = _index_or_none(items, item_key, model, 0, max_entries)
+    shipped = _shipped_index(items, item_key, model, 0, max_entries)
     columns = [post_key, true_key, item_key, "rank", "confidence"]
     if shipped is None:
+        weights = item_weights(items, item_key, model)
         pairs = _joined_pairs(posts, weights, model, post_key, item_key, 0)
         known = posts.select(post_key, true_key).join(
             weights.select(F.col(item_key).alias(true_key)).distinct(), true_key, "left_semi")

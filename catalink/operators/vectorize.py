@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from catalink.functions.text import clean_tokens, ngrams, term_runs
 from catalink.functions.stem import stem_tokens
+from catalink.operators.joins import lookup_join
 from catalink.session import landed
 
 UNIGRAM_VOCABULARY = 1 << 18
@@ -37,9 +39,13 @@ def exploded_runs(df: DataFrame, terms: str = "terms") -> DataFrame:
 
 @dataclass(frozen=True)
 class TermModel:
-    """A fitted vocabulary: ``vocabulary`` holds (term, idx, doc_freq, corpus_count, idf)."""
+    """A fitted vocabulary: ``vocabulary`` holds (term, idx, doc_freq, corpus_count, idf).
+
+    ``entries`` is the same bounded table as fetched, for operators that ship it to tasks.
+    """
 
     vocabulary: DataFrame
+    entries: pa.Table
     size: int
     n_docs: int
     form: str
@@ -111,7 +117,7 @@ def fit_terms(df: DataFrame, terms: str = "terms", form: str = "tfidf", min_df:
     idf = F.log((F.lit(n_docs) + 1.0) / (F.col("doc_freq") + 1.0))
     fitted = largest_terms(stats, vocab_size).withColumn("idf", idf).toArrow()
     stats.unpersist()
-    return TermModel(spark.createDataFrame(fitted), fitted.num_rows, n_docs, form)
+    return TermModel(spark.createDataFrame(fitted), fitted, fitted.num_rows, n_docs, form)
 
 
 def document_frequencies(df: DataFrame, terms: str = "terms") -> DataFrame:
@@ -126,19 +132,24 @@ def hashed_bucket(term: Column, buckets: int) -> Column:
 
 def hashed_tfidf(df: DataFrame, key: str, tokens: str, buckets: int = 1 << 20) -> DataFrame:
     """TF-IDF per hash bucket: (key, bucket, weight). At most ``buckets`` rows are broadcast."""
-    counted = (
-        exploded_runs(df.select(key, F.col(tokens).alias("terms")))
-        .withColumn("bucket", hashed_bucket(F.col("term"), buckets))
+    per_bucket = exploded_runs(df.select(key, bucketed(F.col(tokens), buckets).alias("terms")))
+    idf = hashed_idf(df, tokens, buckets)
+    return per_bucket.withColumnRenamed("term", "bucket").join(F.broadcast(idf), "bucket").select(
+        key, "bucket", (F.col("tf") * F.col("idf")).alias("weight")
     )
-    # Two terms of one row may share a bucket, so counts are added per row and bucket.
-    per_bucket = counted.groupBy(key, "bucket").agg(F.sum("tf").alias("tf"))
+
+
+def bucketed(tokens: Column, buckets: int) -> Column:
+    return F.transform(tokens, lambda t: hashed_bucket(t, buckets))
+
+
+def hashed_idf(df: DataFrame, tokens: str, buckets: int) -> DataFrame:
+    """(bucket, idf), at most ``buckets`` rows; a row counts once per bucket it touches."""
     n_docs = df.count()
-    idf = per_bucket.groupBy("bucket").agg(
+    touched = df.select(F.explode(F.array_distinct(bucketed(F.col(tokens), buckets))).alias("bucket"))
+    return touched.groupBy("bucket").agg(
         F.log((F.lit(n_docs) + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("idf")
     )
-    return per_bucket.join(idf, "bucket").select(
-        key, "bucket", (F.col("tf") * F.col("idf")).alias("weight")
-    )
 
 
 def word_positions(df: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -150,7 +161,7 @@ def word_positions(df: DataFrame, key: str, tokens: str) -> DataFrame:
     words = df.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
     numbered = number_rows(words, "word", "word_id")
     positions = df.select(key, F.posexplode(tokens).alias("position", "word"))
-    return positions.join(numbered, "word").select(key, "position", "word_id")
+    return lookup_join(positions, numbered, "word").select(key, "position", "word_id")
 
 
 def number_rows(df: DataFrame, key: str, out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from catalink.plans.registry import query
 from catalink.plans.tables import (
     item_texts, post_texts, table, talk_texts, term_corpus,
 )
-from catalink.session import landed, spread
+from catalink.session import landed
 
 DOCS = "SELECT doc_id AS id, text FROM documents"
 ITEMS = "SELECT item_id AS id, text FROM benchmark"
@@ -25,7 +25,7 @@ TALK_ITEMS = "SELECT conv_id AS id, text FROM conversations WHERE turn = 0"
 # ---------------------------------------------------------------- term weights
 
 def _document_terms(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
-    return vectorize.with_terms(spread(post_texts(spark, sf_dir)), n=n)
+    return vectorize.with_terms(post_texts(spark, sf_dir), n=n)
 
 
 DOC_RUNS = f"""

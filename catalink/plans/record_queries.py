@@ -13,7 +13,7 @@ from catalink.plans.registry import query
 from catalink.plans.tables import table
 from catalink.plans.text_queries import SENTIMENT_SQL, derived_lexicon
 from catalink.operators.sentiment import sentiment_mean, sentiment_score
-from catalink.session import scratch_path, spread
+from catalink.session import scratch_path
 from catalink.sources import readers, sinks
 
 
@@ -507,7 +507,7 @@ SELECT app_id, round(avg(score), 6) AS mean, count(*) AS n FROM store_links JOIN
 def mean_sentiment_per_app(spark, sf_dir):
     positive, negative = derived_lexicon(spark, sf_dir)
     mean = sentiment_mean(F.col("text"), positive, negative)
-    scored = spread(_store_links(spark, sf_dir)).select("app_id", sentiment_score(mean).alias("score"))
+    scored = _store_links(spark, sf_dir).select("app_id", sentiment_score(mean).alias("score"))
     return features.mean_per_app(scored).withColumn("mean", F.round("mean", 6))
 
 

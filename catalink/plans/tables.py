@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalink.functions.text import java_split
 from catalink.operators.vectorize import (
     NGRAM_VOCABULARY, UNIGRAM_VOCABULARY, TermModel, fit_terms, with_terms,
 )
@@ -27,10 +26,10 @@ def stored_lines(df: DataFrame, line: Column, label: str) -> str:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts: the page of the same number and, for labelled documents, a store
     link are their URLs."""
-    documents = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     labels = table(spark, sf_dir, "labels").withColumn("known", F.lit(True))
-    joined = documents.join(pages, "doc_id", "left").join(labels, "doc_id", "left")
+    joined = docs.join(pages, "doc_id", "left").join(labels, "doc_id", "left")
     none = F.array().cast("array<string>")
     store = F.concat(F.lit("https://play.google.com/store/apps/details?id=com."), "source",
                      F.lit("&hl="), "lang")
@@ -209,13 +208,18 @@ def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, spread over the cores when the scan has few partitions."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def post_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), "text")
+    return documents(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "post_id")
 
 
 def talk_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(posts, items) of the ground truth: a conversation's first turn is its item."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     items = turns.where("turn = 0").select(F.col("conv_id").alias("item_id"), "text")
     later = turns.where("turn > 0").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"),
@@ -233,12 +237,8 @@ def term_corpus(post_rows: DataFrame, item_rows: DataFrame, n: int = 1, min_df:
     if vocab_size is None:
         vocab_size = UNIGRAM_VOCABULARY if n == 1 else NGRAM_VOCABULARY
     n_docs = post_rows.count() + item_rows.count()
-    posts_t = with_terms(spread(post_rows), n=n, stem=stem)
+    posts_t = with_terms(post_rows, n=n, stem=stem)
     items_t = with_terms(item_rows, n=n, stem=stem)
     both = posts_t.select("terms").unionAll(items_t.select("terms"))
     return posts_t, items_t, fit_terms(both, form=form, min_df=min_df, vocab_size=vocab_size,
                                        n_docs=n_docs)
-
-
-def post_words(text: str = "text") -> Column:
-    return java_split(F.col(text))

@@ -10,9 +10,9 @@ from catalink.operators import keywords, sentiment, vectorize
 from catalink.plans import sqltext as sq
 from catalink.plans.registry import query
 from catalink.plans.tables import (
-    KEYWORD_ROWS_SQL, app_parts, keyword_rows, posts, post_texts, table,
+    KEYWORD_ROWS_SQL, app_parts, documents, keyword_rows, posts, post_texts, table,
 )
-from catalink.session import landed, spread
+from catalink.session import landed
 from catalink.sources import readers
 from catalink.words import (
     STEM_FINAL_SUFFIXES, STEM_LONG_SUFFIXES, STEM_SHORT_SUFFIXES,
@@ -22,9 +22,9 @@ from catalink.words import (
 def _url_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the URL of the page of the same number at the end."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    joined = table(spark, sf_dir, "documents").join(pages, "doc_id", "left")
+    joined = documents(spark, sf_dir, "doc_id", "text").join(pages, "doc_id", "left")
     tail = F.coalesce(F.concat(F.lit(" "), "url"), F.lit(""))
-    return spread(joined.select("doc_id", F.concat("text", tail).alias("text")))
+    return joined.select("doc_id", F.concat("text", tail).alias("text"))
 
 
 URL_TEXTS = """
@@ -153,7 +153,7 @@ SELECT word, CASE WHEN length(word) < 3 THEN word ELSE w END AS stem FROM s9
 """)
 def stemmed_vocabulary(spark, sf_dir):
     """Each distinct word of the documents with its stem."""
-    texts = spread(table(spark, sf_dir, "documents").select("text"))
+    texts = documents(spark, sf_dir, "text")
     words = texts.select(F.explode(F.array_distinct(tx.clean_tokens(F.col("text")))).alias("word"))
     return words.distinct().select("word", stem(F.col("word")).alias("stem"))
 
@@ -167,7 +167,7 @@ SELECT d.doc_id, count(gram) AS n_grams, coalesce(string_agg(gram, '|' ORDER BY
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id AND gram IS NOT NULL GROUP BY d.doc_id
 """)
 def trigrams(spark, sf_dir):
-    grams = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    grams = documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", tx.ngrams(tx.clean_tokens(F.col("text")), 3).alias("g"))
     return grams.select("doc_id", F.size("g").cast("long").alias("n_grams"),
                         F.array_join("g", "|").alias("grams"))
@@ -185,7 +185,7 @@ SELECT doc_id, count(*) AS n_runs, count(DISTINCT run) AS n_distinct, sum(length
 FROM r GROUP BY doc_id
 """)
 def sub_sequences(spark, sf_dir):
-    runs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    runs = documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", tx.sub_sequences(tx.phrase_words(F.col("text")), 3).alias("r"))
     return runs.where(F.size("r") > 0).select(
         "doc_id", F.size("r").cast("long").alias("n_runs"),
@@ -222,7 +222,7 @@ SELECT doc_id AS post_id, count(*) AS n_phrases FROM r JOIN phrases ON run = phr
 """)
 def phrase_matches(spark, sf_dir):
     phrases = keywords.phrase_dictionary(keyword_rows(spark, sf_dir))
-    return keywords.phrase_matches(spread(post_texts(spark, sf_dir)), phrases)
+    return keywords.phrase_matches(post_texts(spark, sf_dir), phrases)
 
 
 @query(f"""
@@ -230,7 +230,7 @@ WITH t AS (SELECT doc_id, {sq.prepared('text')} AS t FROM documents)
 SELECT doc_id, len(t) AS n_words, array_to_string(t, '|') AS words FROM t
 """)
 def prepared_words(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    rows = documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", tx.prep_words(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_words"), F.array_join("t", "|").alias("words"))
 
@@ -247,7 +247,7 @@ SELECT doc_id, count(*) FILTER (regexp_full_match(token, '\p{{Nd}}*')) AS n_nume
 FROM t GROUP BY doc_id
 """)
 def numeric_tokens(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    rows = documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", tx.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
     return rows.select(
         "doc_id", F.size(F.filter("t", tx.is_numeric)).cast("long").alias("n_numeric"),
@@ -300,7 +300,7 @@ p AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({sq.prepared('tex
 SELECT doc_id AS post_id, count(*) AS n_hits FROM p JOIN k USING (word) GROUP BY doc_id
 """)
 def keyword_membership(spark, sf_dir):
-    return keywords.keyword_hits(spread(post_texts(spark, sf_dir)),
+    return keywords.keyword_hits(post_texts(spark, sf_dir),
                                  _unique_post_words(spark, sf_dir))
 
 
@@ -340,7 +340,7 @@ o AS (SELECT *, sum(tf) OVER (PARTITION BY post_id ORDER BY weight DESC, term
 SELECT post_id, term, least(tf, budget - before)::BIGINT AS copies FROM o WHERE budget - before > 0
 """)
 def post_keywords(spark, sf_dir):
-    tokens = spread(post_texts(spark, sf_dir)).select(
+    tokens = post_texts(spark, sf_dir).select(
         "post_id", tx.java_split(F.col("text")).alias("tokens"))
     return keywords.post_keywords(tokens)
 
@@ -350,7 +350,7 @@ WITH {KEYWORDS_SQL}
 SELECT post_id, bucket::INTEGER AS bucket, round(btf * idf, 6) AS weight FROM bt JOIN idf USING (bucket)
 """)
 def hashed_tfidf(spark, sf_dir):
-    tokens = spread(post_texts(spark, sf_dir)).select(
+    tokens = post_texts(spark, sf_dir).select(
         "post_id", tx.java_split(F.col("text")).alias("tokens"))
     return vectorize.hashed_tfidf(tokens, "post_id", "tokens").withColumn(
         "weight", F.round("weight", 6))
@@ -380,8 +380,9 @@ LEXICON_SIZE = 500
 
 def derived_lexicon(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
     """(positive, negative) words; the ``LEXICON_SIZE`` most widespread of each kind."""
-    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    words = spread(labelled.select("text", "quality")).select(
+    labelled = documents(spark, sf_dir, "doc_id", "text").join(
+        table(spark, sf_dir, "labels"), "doc_id")
+    words = labelled.select(
         "quality", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}']+")))
         .alias("word")).where("word <> ''")
     shares = words.groupBy("word").agg(
@@ -421,7 +422,7 @@ scores AS (SELECT d.doc_id, coalesce(m, -1) AS m,
 def post_sentiment(spark, sf_dir):
     positive, negative = derived_lexicon(spark, sf_dir)
     mean = sentiment.sentiment_mean(F.col("text"), positive, negative)
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    rows = documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", mean.alias("m"))
     return rows.select("doc_id", F.round("m", 6).alias("mean"),
                        sentiment.sentiment_score(F.col("m")).alias("score"))

@@ -60,10 +60,11 @@ def landed(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance rows only when the scan yields fewer partitions than there are cores.
+    """Rebalance a plain scan only when it yields fewer partitions than there are cores.
 
     Large inputs already split into more partitions than cores and pass through
-    untouched, so this adds a shuffle for small inputs only.
+    untouched, so this adds a shuffle for small inputs only. Give it a scan (with filters
+    and columns), never a join: counting the partitions of a join would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:

@@ -38,9 +38,11 @@ def collect(posts: DataFrame, phrases: DataFrame, out: str, checkpoint: str, *,
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read by the emptiness test, the filter and the lookup
         if not batch.isEmpty():
             wanted_posts(batch, phrases, url_part).write.mode("overwrite").json(
                 part_path(out, batch_id))
+        batch.unpersist()
         if (batch_id + 1) % per_set == 0:
             compact(batch.sparkSession, out, batch_id // per_set, per_set, posts.schema)
 
@@ -112,7 +114,8 @@ def topic_scores(events: DataFrame, *, ts: str, text: str, needle: str, topic: s
         lexicon["positive"] = positive
     if negative is not None:
         lexicon["negative"] = negative
-    rows = events
+    # Watermarks need a zoned timestamp; a zoneless one is read in the session's time zone.
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
     if fraction < 1.0:
         rows = rows.where(seeded_key(F.col(key), seed) < F.lit(int(fraction * PRIME)))
     score: Column = sentiment_score(sentiment_mean(F.col(text), **lexicon))
