@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalink.functions.ids import row_key
 
-# A right side of at most this many rows is broadcast; its size is checked first.
+# A right side within both bounds is broadcast; its rows and bytes are measured first.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 100_000_000
 # At most this many left keys can be called hot, because each holds 1/HOT_KEYS of the rows.
 HOT_KEYS = 20_000
 # A key is never split for fewer rows than this.
 ROWS_PER_SALT = 1_000_000
 
 
-def within(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes as text."""
+    n, measured = df.limit(rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    ).first()
+    return n <= rows and measured <= size
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",

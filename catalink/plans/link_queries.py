@@ -176,7 +176,8 @@ SELECT item_id, 0 AS part, count(*) AS n_posts, string_agg(post_id::VARCHAR, ','
 FROM links GROUP BY item_id
 """)
 def posts_per_item(spark, sf_dir):
-    grouped = link.posts_per_item(_best(spark, sf_dir))
+    # Written out first: the links are counted per item, then grouped.
+    grouped = link.posts_per_item(landed(_best(spark, sf_dir), "links"))
     return grouped.select(
         "item_id", "part", F.size("posts").cast("long").alias("n_posts"),
         F.array_join(F.transform("posts.post_id", lambda p: p.cast("string")), ",").alias("posts"))

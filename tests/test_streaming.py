@@ -64,3 +64,45 @@ def test_late_events_are_excluded(spark, tmp_path):
     first = {r["topic"]: (r["mean"], r["n"]) for r in rows.where(
         F.col("window_start") == F.lit(start)).collect()}
     assert first == {"rest": (0.0, 2), "sign": (1.0, 1)}
+
+
+def test_programs_run_end_to_end(spark, tmp_path):
+    from catalink.plans import programs
+
+    words = ["red", "blue", "fast", "slow", "game", "maps", "chat", "photo"]
+    posts = [{"id": i, "text": " ".join(words[(i + k) % 8] for k in range(3)) + f" tag{i % 4}",
+              "urlEntities": [{"expandedURL": f"https://play.google.com/s?id=com.a{i % 4}&hl=en"}],
+              "mediaEntities": [], "inReplyToUserId": -1, "lang": "en",
+              "user": {"followersCount": i, "friendsCount": 1, "favouritesCount": 2, "statusesCount": 3}}
+             for i in range(80)]
+    (tmp_path / "posts").write_text("\n".join(json.dumps(p) for p in posts))
+    (tmp_path / "desc").write_text("\n".join(f"com.a{k},<b>tag{k}</b> words about tag{k}" for k in range(4)))
+    (tmp_path / "ben").write_text("tag1 red\tme\tcom.a1\n")
+    (tmp_path / "mal").write_text("(f,com.bad,red blue)\n")
+    args = (spark, str(tmp_path / "posts"), str(tmp_path / "desc"))
+    text = programs.TextOptions(n=1, min_active=1)
+    links = programs.full_linking(*args, text=text, factors=programs.FactorOptions(rank=0), threshold=0.1)
+    assert all(r["item_id"] == f"com.a{r['post_id'] % 4}" for r in links.collect()) and links.count() == 80
+    dense = programs.full_linking(*args, text=text, factors=programs.FactorOptions(rank=4), threshold=0.0)
+    assert 0 < dense.count() <= 80
+    read = programs.readers.read_posts(spark, str(tmp_path / "posts"))
+    pairs = programs.store_links(read)
+    assert pairs.where("app_id = 'com.a1'").count() == 20
+    hits = programs.keyword_links(spark, str(tmp_path / "posts"), str(tmp_path / "ben"), str(tmp_path / "mal"))
+    assert {r["post_id"] for r in hits.collect()} >= {i for i in range(80) if i % 4 == 1}
+    apps = spark.createDataFrame(
+        [(f"com.a{k}", float(k % 2), [float(k)]) for k in range(4)], "app_id string, label double, features array<double>")
+    joint = programs.features.linked_features(
+        pairs.select("post_id", "app_id"),
+        read.select(F.col("id").alias("post_id"), F.array(F.col("user.followersCount").cast("double")).alias("vector")),
+        apps)
+    assert {r["app_id"]: r["joint"] for r in joint.collect()}["com.a0"] == [0.0, 38.0, 20.0]
+    assert programs.sentiment_features(read).count() == 4
+    truth = read.select(F.col("id").alias("post_id"), F.concat(F.lit("com.a"), (F.col("id") % 4).cast("string"))
+                        .alias("true_item_id"), "text")
+    items = programs.readers.read_descriptions(spark, str(tmp_path / "desc")).withColumnRenamed(
+        "app_id", "item_id").withColumnRenamed("description", "text")
+    got = {r["metric"]: r["value"] for r in programs.ground_truth(truth, items, text).collect()}
+    assert got["accuracy"] == 1.0 and got["n_links"] == 80
+    programs.export_store_links(spark, str(tmp_path / "posts"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 80
