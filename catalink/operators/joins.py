@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalink.functions.ids import row_key
+from catalink.session import landed
 
 # A right side within both bounds is broadcast; its rows and bytes are measured first.
 BROADCAST_ROWS = 500_000
@@ -35,8 +36,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """
     if within(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = left.count()
+    counts = landed(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = max(rows_per_salt, -(-total // HOT_KEYS))
     hot = counts.where(F.col("n") > share).select(
         key, F.ceil(F.col("n") / share).cast("int").alias("salts"))

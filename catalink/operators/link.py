@@ -4,8 +4,9 @@ Each post keeps the single item most similar to it. Scoring every (post, item) p
 rows would shuffle one row per pair that shares any term, so the item side becomes an
 inverted index instead: when its measured size is within ``INDEX_ENTRIES`` it is shipped
 to the tasks and each Arrow batch of posts is scored where it lies, with no shuffle and
-no pair rows. A larger item side is joined on terms by Spark, hot terms salted, with
-products added up on the map side first; both ways give the same links.
+no pair rows. A larger item side is joined on terms by Spark: an item's frequent terms that
+cannot decide a link above the threshold are left out of the join, hot terms are salted and
+products are added up on the map side first. Both ways give the same links.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from catalink.functions.ids import row_key
 from catalink.functions.text import term_runs
+from catalink.operators.joins import lookup_join
 from catalink.operators.vectorize import TermModel
+from catalink.session import landed
 
 # Entries of the shipped index: 12 bytes each, so at most about 100 MB per Python worker.
 INDEX_ENTRIES = 8_000_000
@@ -30,6 +33,8 @@ BLOCK_CELLS = 4_000_000
 # Similarities are compared at this many decimals so that ties do not hang on the
 # order in which floating-point products were added.
 DECIMALS = 9
+# Slack of the pruning bounds, far above rounding errors of the sums.
+MARGIN = 1e-6
 # Rows of one term that a single task joins before the term is salted.
 ROWS_PER_SALT = 1_000_000
 
@@ -162,13 +167,10 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
     shipped = _shipped_index(items, item_key, model, min_active, max_entries)
     if shipped is None:
         weights = item_weights(items, item_key, model, min_active)
-        pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active)
+        pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active, threshold)
         best = F.max_by(F.struct(item_key, "similarity"), F.struct("similarity", _descending(
             pairs, item_key)))
-        return (
-            pairs.groupBy(post_key).agg(best.alias("best")).select(post_key, "best.*")
-            .where(F.col("similarity") > threshold)
-        )
+        return pairs.groupBy(post_key).agg(best.alias("best")).select(post_key, "best.*")
     schema = T.StructType([
         posts.schema[post_key], items.schema[item_key],
         T.StructField("similarity", T.DoubleType()),
@@ -230,8 +232,8 @@ def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
     entry = T.StructType([items.schema[item_key], T.StructField("similarity", T.DoubleType())])
     if shipped is None:
         weights = item_weights(items, item_key, model, min_active)
-        pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active)
-        return pairs.where(F.col("similarity") > threshold).groupBy(post_key).agg(
+        pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active, threshold)
+        return pairs.groupBy(post_key).agg(
             F.sort_array(F.collect_list(F.struct(item_key, "similarity"))).alias("matches")
         )
     schema = T.StructType([posts.schema[post_key], T.StructField("matches", T.ArrayType(entry))])
@@ -320,29 +322,54 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
 
 
 def _joined_pairs(posts: DataFrame, item_rows: DataFrame, model: TermModel, post_key: str,
-                  item_key: str, min_active: int) -> DataFrame:
-    """(post, item, similarity) by a join on terms, for item sides too large to ship.
-
-    A term held by many rows is split over ``salts`` keys: posts take one at random, items
-    are copied to each. The vocabulary knows every term's frequency, so only hot terms pay.
+                  item_key: str, min_active: int, threshold: float = 0.0) -> DataFrame:
+    """(post, item, similarity) above ``threshold``, for item sides too large to ship.
+
+    Vectors have unit length, so the most frequent terms of an item whose weights together
+    measure at most ``threshold`` cannot lift a pair above it on their own. Only the other,
+    rarer terms of an item are joined; a pair whose sum over them plus the length of the
+    left-out part stays below the threshold is dropped, and only the remaining pairs get
+    their missing products. With threshold 0 no term can be left out.
     """
-    salts = F.greatest(F.lit(1), F.ceil(F.col("doc_freq") / ROWS_PER_SALT)).cast("int")
-    post_rows = model.weights(posts.select(post_key, "terms")).select(
-        post_key, "idx", "weight", F.pmod(row_key(F.col(post_key)), salts).alias("salt"))
-    copies = item_rows.select(
-        item_key, "idx", F.col("weight").alias("item_weight"),
-        F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    products = post_rows.join(copies.withColumn("salt", F.col("salt").cast("long")),
-                              ["idx", "salt"])
-    dots = products.groupBy(post_key, item_key).agg(
-        F.sum(F.col("weight") * F.col("item_weight")).alias("dot"))
+    known = model.weights(posts.select(post_key, "terms")).select(
+        post_key, "idx", "doc_freq", "weight")
+    post_rows = landed(known, "post-weights")  # read three times below
     norms = post_rows.groupBy(post_key).agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
         F.count(F.lit(1)).alias("active"),
-    ).where((F.col("active") >= min_active) & (F.col("norm") > 0))
-    return dots.join(norms, post_key).select(
-        post_key, item_key, F.round(F.col("dot") / F.col("norm"), DECIMALS).alias("similarity")
-    ).where(F.col("similarity") > 0)
+    ).where((F.col("active") >= min_active) & (F.col("norm") > 0)).drop("active")
+    # An item's terms from the most frequent on, with the length of all up to each of them.
+    hottest = W.partitionBy(item_key).orderBy(F.desc("doc_freq"), "idx").rowsBetween(
+        W.unboundedPreceding, W.currentRow)
+    measured = item_rows.select(item_key, "idx", "doc_freq", F.col("weight").alias("item_weight"))
+    measured = measured.withColumn("length", F.sqrt(
+        F.sum(F.col("item_weight") * F.col("item_weight")).over(hottest)))
+    split = landed(measured.withColumn(
+        "rare", F.col("length") > F.lit(max(threshold - MARGIN, 0.0))), "item-weights")
+    rare, frequent = split.where("rare"), split.where(~F.col("rare"))
+
+    salts = F.greatest(F.lit(1), F.ceil(F.col("doc_freq") / ROWS_PER_SALT)).cast("int")
+    left = post_rows.withColumn("salt", F.pmod(row_key(F.col(post_key)), salts).cast("int"))
+    copies = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    products = left.drop("doc_freq").join(copies.drop("doc_freq"), ["idx", "salt"])
+    partial = products.groupBy(post_key, item_key).agg(
+        F.sum(F.col("weight") * F.col("item_weight")).alias("dot")).join(norms, post_key)
+    if threshold > 0:
+        rest = frequent.groupBy(item_key).agg(
+            F.max("length").alias("rest"),
+            F.collect_list(F.struct("idx", "item_weight")).alias("entries"))
+        open_pairs = lookup_join(partial, rest, item_key, "left")
+        reach = F.col("dot") / F.col("norm") + F.coalesce("rest", F.lit(0.0))
+        open_pairs = landed(open_pairs.where(reach > threshold - MARGIN), "pairs")
+        missing = open_pairs.select(post_key, item_key, F.inline("entries")).join(
+            post_rows.drop("doc_freq"), [post_key, "idx"])
+        added = missing.groupBy(post_key, item_key).agg(
+            F.sum(F.col("weight") * F.col("item_weight")).alias("added"))
+        partial = open_pairs.join(added, [post_key, item_key], "left").withColumn(
+            "dot", F.col("dot") + F.coalesce("added", F.lit(0.0)))
+    similarity = F.round(F.col("dot") / F.col("norm"), DECIMALS)
+    return partial.select(post_key, item_key, similarity.alias("similarity")).where(
+        (F.col("similarity") > 0) & (F.col("similarity") > threshold))
 
 
 def best_post_per_item(links: DataFrame, post_key: str = "post_id",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalink.functions.ids import fold_sql, seeded_key_sql
-from catalink.operators import factor, features, labels, learn, link, sampling
-from catalink.plans import sqltext as sq
+from catalink.operators import factor, features, labels, learn, sampling
+from catalink.plans import programs, sqltext as sq
 from catalink.plans.record_queries import mislinked
 from catalink.plans.registry import query
 from catalink.plans.tables import item_texts, post_texts, posts, table, talk_texts, term_corpus
@@ -143,18 +143,10 @@ def dated_class_balance(spark, sf_dir):
 
 @query()
 def parameter_grid(spark, sf_dir):
-    """Ground-truth accuracy for every combination of n, weight form and stemming."""
-    post_rows, item_rows = talk_texts(spark, sf_dir)
-    results = []
-    for n in (1, 2):
-        for form in ("count", "tfidf"):
-            for stem in (False, True):
-                p, i, model = term_corpus(post_rows, item_rows, n=n, stem=stem, form=form)
-                ranks = link.true_item_ranks(p, i, model)
-                right, total = ranks.agg(F.count_if(F.col("rank") == 0), F.count(F.lit(1))).first()
-                results.append((n, form, stem, total, right / total if total else 0.0))
-    return spark.createDataFrame(
-        results, "n int, form string, stem boolean, n_posts long, accuracy double")
+    """Ground-truth accuracy for combinations of n, weight form and stemming."""
+    options = [programs.TextOptions(n=n, form=form, stem=stem, min_active=0)
+               for n in (1, 2) for form in ("count", "tfidf") for stem in (False, True)]
+    return programs.grid(*talk_texts(spark, sf_dir), options)
 
 
 # ---------------------------------------------------------------- factorisation
@@ -247,6 +239,13 @@ def link_by_svd(spark, sf_dir):
     return factor.best_dense(*_split(projected), threshold=0.0)
 
 
+@query()
+def factor_grid(spark, sf_dir):
+    """Links by reducer and number of components over one set of term weights."""
+    weights, width = _talk_weights(spark, sf_dir)
+    return programs.factor_grid(weights, width, "p", "i", (4, 16))
+
+
 @query("""
 WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
 SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 6) AS similarity

@@ -144,7 +144,7 @@ def link_by_trigram(spark, sf_dir):
 
 @query(f"""
 WITH {sq.weights(DOCS, ITEMS, 2)}, {sq.similarities()}
-SELECT post_id, count(*) AS n_items, round(sum(s), 5) AS total, round(max(s), 6) AS best,
+SELECT post_id, count(*) AS n_items, round(sum(s), 3) AS total, round(max(s), 6) AS best,
        string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items
 FROM sims GROUP BY post_id
 """)
@@ -155,7 +155,7 @@ def all_similarities(spark, sf_dir):
     grouped = link.similar_items(posts, items, model)
     return grouped.select(
         "post_id", F.size("matches").cast("long").alias("n_items"),
-        F.round(F.aggregate("matches.similarity", F.lit(0.0), lambda a, x: a + x), 5).alias("total"),
+        F.round(F.aggregate("matches.similarity", F.lit(0.0), lambda a, x: a + x), 3).alias("total"),
         F.round(F.array_max("matches.similarity"), 6).alias("best"),
         F.array_join(F.transform("matches.item_id", lambda i: i.cast("string")), ",").alias("items"))
 

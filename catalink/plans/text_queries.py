@@ -186,11 +186,14 @@ FROM r GROUP BY doc_id
 """)
 def sub_sequences(spark, sf_dir):
     runs = documents(spark, sf_dir, "doc_id", "text").select(
-        "doc_id", tx.sub_sequences(tx.phrase_words(F.col("text")), 3).alias("r"))
-    return runs.where(F.size("r") > 0).select(
-        "doc_id", F.size("r").cast("long").alias("n_runs"),
-        F.size(F.array_distinct("r")).cast("long").alias("n_distinct"),
-        F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+        "doc_id", tx.let(
+            tx.sub_sequences(tx.phrase_words(F.col("text")), 3),
+            lambda r: F.struct(
+                F.size(r).cast("long").alias("n_runs"),
+                F.size(F.array_distinct(r)).cast("long").alias("n_distinct"),
+                F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"),
+            )).alias("s"))
+    return runs.select("doc_id", "s.*").where("n_runs > 0")
 
 
 PHRASES_SQL = f"""

@@ -36,7 +36,7 @@ def brute(post_rows, item_rows):
 
 
 @pytest.mark.parametrize("bound", [link.INDEX_ENTRIES, 0])
-@pytest.mark.parametrize("threshold", [0.0, 0.4])
+@pytest.mark.parametrize("threshold", [0.0, 0.2, 0.4, 0.7])
 def test_best_items_equal_brute_force(corpus, bound, threshold, monkeypatch):
     monkeypatch.setattr(link, "ROWS_PER_SALT", 7)
     post_rows, item_rows, posts, items, model = corpus

@@ -32,7 +32,7 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def cell(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v) or v is pd.NaT:
             return None
         if isinstance(v, bool):
             return str(v)
