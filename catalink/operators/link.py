@@ -12,7 +12,7 @@ products are added up on the map side first. Both ways give the same links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +39,10 @@ MARGIN = 1e-6
 ROWS_PER_SALT = 1_000_000
 
 
-@dataclass(frozen=True)
-class ItemIndex:
-    """Inverted index over unit-length item vectors; items are in id order."""
-
-    items: np.ndarray
-    terms: dict[str, int]
-    idf: np.ndarray
-    starts: np.ndarray
-    columns: np.ndarray
-    values: np.ndarray
-    form: str
+# An inverted index over unit-length item vectors, items in id order: ``items``, ``terms``
+# (term -> idx), ``idf`` by idx, and the postings ``columns`` and ``values`` of idx i from
+# ``starts[i]`` to ``starts[i + 1]``. A plain namespace, because broadcasts travel by reference.
+ItemIndex = SimpleNamespace
 
 
 def item_weights(items: DataFrame, key: str, model: TermModel, min_active: int = 0) -> DataFrame:
@@ -81,8 +74,8 @@ def _build_index(entries: pa.Table, model: TermModel, key: str, min_active: int)
     idf = np.empty(model.size)
     idf[ids] = model.entries["idf"].to_numpy()
     return ItemIndex(
-        items[usable], dict(zip(model.entries["term"].to_pylist(), ids.tolist())), idf, starts,
-        column[order], weight[order], model.form,
+        items=items[usable], terms=dict(zip(model.entries["term"].to_pylist(), ids.tolist())),
+        idf=idf, starts=starts, columns=column[order], values=weight[order], form=model.form,
     )
 
 

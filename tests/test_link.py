@@ -161,3 +161,19 @@ def test_factors_recover_blocks(spark):
     cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
     own, other = cos(v["d0"], v["d2"]), abs(cos(v["d0"], v["d1"]))
     assert len(v) == 20 and own > 0.6 > other  # d0 and d2 share some words, d0 and d1 none
+
+
+def test_task_functions_need_no_package_on_executors(tmp_path):
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    functions = (link._batch_weights, link._score_blocks, factor._rows, factor._unit)
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(functions))
+    (tmp_path / "i").write_bytes(pickle.dumps(link.ItemIndex(items=np.arange(2))))
+    code = "import pickle; print(len(pickle.load(open('f', 'rb'))), len(pickle.load(open('i', 'rb')).items))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                         env={"PATH": "/usr/bin:/bin"}, timeout=60)
+    assert run.stdout.split() == ["4", "2"], run.stderr
