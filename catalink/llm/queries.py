@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalink.llm import exact_dedup, sharding
+from catalink.llm import bpe, exact_dedup, sharding, token_counts
+
+#: Rank file of the tokenisers.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +19,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
+        public_tokenizers.PATTERN))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
@@ -23,7 +38,8 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contiguous_shards(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op7_exact_dedup, op10_minimax_shards)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op3_token_counts, op7_exact_dedup, op8_prefix_bpe, op10_minimax_shards)}
 
 SQL: dict[str, str] = {
     "op7_exact_dedup": """
