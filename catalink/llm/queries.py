@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalink.llm import bpe, exact_dedup, sharding, token_counts
+from catalink.llm import bpe, exact_dedup, language_id, sharding, token_counts
 
 #: Rank file of the tokenisers.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,12 +34,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contiguous_shards(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op3_token_counts, op7_exact_dedup, op8_prefix_bpe, op10_minimax_shards)}
+    op3_token_counts, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
+    op10_minimax_shards)}
 
 SQL: dict[str, str] = {
     "op7_exact_dedup": """
