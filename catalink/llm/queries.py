@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalink.llm import bpe, exact_dedup, language_id, sharding, token_counts
+from catalink.llm import bpe, exact_dedup, language_id, quality, sharding, token_counts
 
 #: Rank file of the tokenisers.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,11 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"),
+                                 _table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op3_token_counts, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
+    op3_token_counts, op4_quality, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
     op10_minimax_shards)}
 
 SQL: dict[str, str] = {
