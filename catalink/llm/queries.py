@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalink.llm import bpe, exact_dedup, language_id, quality, sharding, token_counts
+from catalink.llm import (bpe, decontaminate, exact_dedup, language_id, quality, sharding,
+                          token_counts)
 
 #: Rank file of the tokenisers.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.summary(decontaminate.contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"),
                                      public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -48,10 +54,38 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op3_token_counts, op4_quality, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
+    op1_decontamination, op3_token_counts, op4_quality, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
     op10_minimax_shards)}
 
+_WORDS = r"""
+REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')""".strip()
+
 SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+items AS (
+  SELECT DISTINCT item_id, LEAST(LEN(w), 10) AS n, w[i:i + LEAST(LEN(w), 10) - 1] AS s
+  FROM b, UNNEST(RANGE(1, GREATEST(LEN(w) - 9, 1) + 1)) AS t(i) WHERE LEN(w) > 0),
+lengths AS (SELECT DISTINCT n FROM items),
+found AS (
+  SELECT doc_id, i, x.n, item_id FROM (
+    SELECT doc_id, i, n, w[i:i + n - 1] AS s
+    FROM d, lengths, UNNEST(RANGE(1, LEN(w) - n + 2)) AS t(i)) AS x
+  JOIN items ON items.n = x.n AND items.s = x.s),
+hits AS (
+  SELECT doc_id, COUNT(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, i, n FROM found) AS f, UNNEST(RANGE(i, i + n)) AS t(p)
+  GROUP BY doc_id),
+named AS (
+  SELECT doc_id, COUNT(*) AS n_items, STRING_AGG(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, LEN(w) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+       SHA256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+""".strip(),
     "op7_exact_dedup": """
 SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size,
        doc_id = MAX(doc_id) OVER g AS kept, SHA256(COALESCE(text, '')) AS text_sha256
