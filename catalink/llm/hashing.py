@@ -66,3 +66,15 @@ def word_hashes(data: bytes, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(hashes)
+
+
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the stretches of one length that begin at the given places, in order."""
+    out, done = np.empty(len(starts), np.uint64), 0
+    for at in range(0, len(data), PART):
+        upto = int(np.searchsorted(starts, at + PART))
+        if upto > done:
+            own = starts[done:upto] - at
+            out[done:upto] = PrefixHash(data[at:at + PART + length]).of(own, own + length)
+            done = upto
+    return out

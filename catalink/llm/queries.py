@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from catalink.llm import (bpe, decontaminate, exact_dedup, language_id, language_model, quality,
-                          sharding, token_counts)
+                          sharding, substrings, token_counts)
 
 #: Rank file of the tokenisers.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.summary(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"),
                                      public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -58,7 +62,7 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_decontamination, op3_token_counts, op4_quality, op6_language_model, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
+    op1_decontamination, op2_substring_dedup, op3_token_counts, op4_quality, op6_language_model, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
     op10_minimax_shards)}
 
 _WORDS = r"""
