@@ -12,11 +12,14 @@ rows, so no broadcast grows with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, repeat
+from operator import or_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalink.llm.fm_index import FMIndex
@@ -179,6 +182,28 @@ def summary(found: DataFrame) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
+                    item_col: str = "item_id", item_text_col: str = "text",
+                    window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` that hold no window, all columns kept; no row is shuffled."""
+    spark = docs.sparkSession
+
+    def holds(block: list[tuple[str, str]]) -> Column:
+        held = shared(spark, Windows(block, window))
+
+        @F.pandas_udf("boolean")
+        def search(texts: pd.Series) -> pd.Series:
+            batch = pa.record_batch([pa.nulls(len(texts)), pa.array(texts, pa.string())],
+                                    ["id", "text"])
+            return pd.Series([bool(s) for _, some in slices([batch])
+                              for s in search_shard(some, held.value)[1]], dtype=bool)
+
+        return search(F.col(f"`{text_col}`").cast("string"))
+
+    found = [holds(b) for b in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
+    return docs.filter(~reduce(or_, found)) if found else docs
+
+
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the words of the spans and what stands between them."""
     if not text or not spans:

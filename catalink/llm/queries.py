@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalink.llm import (bpe, decontaminate, exact_dedup, language_id, language_model, quality,
-                          sharding, substrings, token_counts)
+from catalink.llm import (bpe, decontaminate, exact_dedup, jaccard_join, language_id,
+                          language_model, quality, sharding, substrings, token_counts)
 
 #: Rank file of the tokenisers.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  _table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_join(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -62,8 +66,8 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_decontamination, op2_substring_dedup, op3_token_counts, op4_quality, op6_language_model, op7_exact_dedup, op8_prefix_bpe, op9_language_id,
-    op10_minimax_shards)}
+    op1_decontamination, op2_substring_dedup, op3_token_counts, op4_quality, op5_jaccard_join,
+    op6_language_model, op7_exact_dedup, op8_prefix_bpe, op9_language_id, op10_minimax_shards)}
 
 _WORDS = r"""
 REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
