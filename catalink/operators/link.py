@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from catalink.functions.ids import row_key
 from catalink.functions.text import term_runs
@@ -28,6 +29,8 @@ from catalink.session import landed
 
 # Entries of the shipped index: 12 bytes each, so at most about 100 MB per Python worker.
 INDEX_ENTRIES = 8_000_000
+# Terms of a vocabulary that is shipped with the index.
+INDEX_TERMS = 1_000_000
 # Cells of one score block inside a task (8 bytes each).
 BLOCK_CELLS = 4_000_000
 # Similarities are compared at this many decimals so that ties do not hang on the
@@ -138,7 +141,7 @@ def _post_batches(posts: DataFrame, key: str, carried: tuple[str, ...] = ()) ->
 def _shipped_index(items: DataFrame, key: str, model: TermModel, min_active: int,
                    max_entries: int) -> Broadcast | None:
     """The item side as a shipped index when it is small enough, else None."""
-    if max_entries <= 0:
+    if max_entries <= 0 or model.size > INDEX_TERMS:
         return None
     # One row more than the bound tells whether the bound holds, whatever the true size.
     weights = model.weights(items.select(key, "terms")).select(key, "idx", "weight")
@@ -161,8 +164,7 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
     if shipped is None:
         weights = item_weights(items, item_key, model, min_active)
         pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active, threshold)
-        best = F.max_by(F.struct(item_key, "similarity"), F.struct("similarity", _descending(
-            pairs, item_key)))
+        best = most_similar(item_key)
         return pairs.groupBy(post_key).agg(best.alias("best")).select(post_key, "best.*")
     schema = T.StructType([
         posts.schema[post_key], items.schema[item_key],
@@ -201,16 +203,15 @@ def _blocks_if_any(n_rows, rows, terms, weight, index):
 
 
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
-    return pa.int64() if isinstance(df.schema[column].dataType, T.LongType) else (
-        pa.int32() if isinstance(df.schema[column].dataType, T.IntegerType) else pa.string()
-    )
+    return to_arrow_type(df.schema[column].dataType)
+
 
+def most_similar(key: str) -> Column:
+    """Aggregate (key, similarity): the highest similarity, ties to the smallest key of any type.
 
-def _descending(df: DataFrame, key: str):
-    """A sort value that grows as the id shrinks, for numeric ids; strings are compared as is."""
-    if isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType)):
-        return -F.col(key)
-    return F.transform(F.split(F.hex(F.encode(key, "UTF-8")), ""), lambda c: -F.ascii(c))
+    It combines on the map side, so a group of any size is no hot task.
+    """
+    return F.min_by(F.struct(key, "similarity"), F.struct(-F.col("similarity"), key))
 
 
 def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
@@ -273,8 +274,7 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
             weights.select(F.col(item_key).alias(true_key)).distinct(), true_key, "left_semi")
         scored = known.join(pairs, post_key)
         truth = F.max(F.when(F.col(item_key) == F.col(true_key), F.col("similarity")))
-        best = F.max_by(F.struct(item_key, "similarity"),
-                        F.struct("similarity", _descending(pairs, item_key)))
+        best = most_similar(item_key)
         # Two aggregates over the same grouping; no window collects a post's pairs.
         per_post = scored.groupBy(post_key, true_key).agg(
             F.coalesce(truth, F.lit(0.0)).alias("true_similarity"), best.alias("best"))
@@ -367,13 +367,9 @@ def _joined_pairs(posts: DataFrame, item_rows: DataFrame, model: TermModel, post
 
 def best_post_per_item(links: DataFrame, post_key: str = "post_id",
                        item_key: str = "item_id") -> DataFrame:
-    """One-to-one links: the most similar post of each item, ties to the smallest post id.
-
-    ``max_by`` combines on the map side, so an item holding most links is no hot group.
-    """
-    best = F.max_by(F.struct(post_key, "similarity"),
-                    F.struct("similarity", _descending(links, post_key)))
-    return links.groupBy(item_key).agg(best.alias("best")).select(item_key, "best.*")
+    """One-to-one links: the most similar post of each item, ties to the smallest post id."""
+    return links.groupBy(item_key).agg(most_similar(post_key).alias("best")).select(
+        item_key, "best.*")
 
 
 def posts_per_item(links: DataFrame, post_key: str = "post_id", item_key: str = "item_id",
@@ -385,7 +381,7 @@ def posts_per_item(links: DataFrame, post_key: str = "post_id", item_key: str =
     """
     sizes = links.groupBy(item_key).agg(
         F.ceil(F.count(F.lit(1)) / posts_per_row).alias("parts"))
-    parted = links.join(sizes, item_key).withColumn(
+    parted = lookup_join(links, sizes, item_key).withColumn(
         "part", F.pmod(row_key(F.col(post_key)), F.col("parts")).cast("int"))
     return parted.groupBy(item_key, "part").agg(
         F.sort_array(F.collect_list(F.struct(post_key, "similarity"))).alias("posts"))

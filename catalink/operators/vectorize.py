@@ -1,13 +1,14 @@
 """Term weights: vocabulary fitting, count / binary / TF-IDF weights, hashed weights.
 
-The only shuffle is the vocabulary count, which combines on the map side first. The
-fitted vocabulary never exceeds ``vocab_size`` rows, so it is safe to broadcast whatever
-the size of the corpus, and weighting a corpus is a narrow pass over its rows.
+A vocabulary holds every term that occurs in at least ``min_df`` rows; nothing is cut off. It is
+counted with a map-side combine, numbered over key ranges and written once. Weighting joins it
+on the term: a broadcast where its measured size allows, a join with salted hot terms beyond.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -17,8 +18,6 @@ from catalink.functions.stem import stem_tokens
 from catalink.operators.joins import lookup_join
 from catalink.session import landed
 
-UNIGRAM_VOCABULARY = 1 << 18
-NGRAM_VOCABULARY = 10_000
 FORMS = ("count", "binary", "tfidf")
 
 
@@ -39,24 +38,26 @@ def exploded_runs(df: DataFrame, terms: str = "terms") -> DataFrame:
 
 @dataclass(frozen=True)
 class TermModel:
-    """A fitted vocabulary: ``vocabulary`` holds (term, idx, doc_freq, corpus_count, idf).
-
-    ``entries`` is the same bounded table as fetched, for operators that ship it to tasks.
-    """
+    """A fitted vocabulary: ``vocabulary`` holds (term, idx, doc_freq, corpus_count, idf)."""
 
     vocabulary: DataFrame
-    entries: pa.Table
     size: int
     n_docs: int
     form: str
 
+    @cached_property
+    def entries(self) -> pa.Table:
+        """The vocabulary as fetched, for operators that checked ``size`` before they ship it."""
+        return self.vocabulary.select("term", "idx", "idf").toArrow()
+
     def weight(self) -> Column:
         return weight_of(self.form)
 
     def weights(self, df: DataFrame, terms: str = "terms") -> DataFrame:
-        """Long form: the carried columns plus (term, idx, doc_freq, weight). No shuffle."""
-        known = F.broadcast(self.vocabulary.select("term", "idx", "doc_freq", "idf"))
-        rows = exploded_runs(df, terms).join(known, "term").withColumn("weight", self.weight())
+        """Long form: the carried columns plus (term, idx, doc_freq, weight)."""
+        known = self.vocabulary.select("term", "idx", "doc_freq", "idf")
+        rows = lookup_join(exploded_runs(df, terms), known, "term").withColumn(
+            "weight", self.weight())
         return rows.drop("tf", "idf")
 
 
@@ -82,46 +83,26 @@ def term_statistics(df: DataFrame, terms: str = "terms") -> DataFrame:
     )
 
 
-def largest_terms(stats: DataFrame, vocab_size: int) -> DataFrame:
-    """The ``vocab_size`` most frequent terms, ties by term, with their rank as ``idx``.
-
-    Each distinct corpus count is a row of the histogram, and counts c1 < c2 < ... of that
-    many terms need at least c1 + c2 + ... tokens, so a corpus of T tokens has at most
-    sqrt(2T) of them. The histogram fixes the lowest count that can still be kept, so the
-    final top-k sees the vocabulary and the ties at that count only.
-    """
-    histogram = stats.groupBy("corpus_count").agg(F.count(F.lit(1)).alias("n_terms"))
-    above = F.sum("n_terms").over(W.orderBy(F.desc("corpus_count"))) - F.col("n_terms")
-    floor = (
-        histogram.withColumn("above", above).where(F.col("above") < vocab_size)
-        .agg(F.min("corpus_count").alias("floor")).first()["floor"]
-    )
-    kept = stats.where(F.col("corpus_count") >= F.lit(floor)) if floor is not None else stats
-    top = kept.orderBy(F.desc("corpus_count"), "term").limit(vocab_size)
-    order = W.orderBy(F.desc("corpus_count"), "term")
-    return top.withColumn("idx", F.row_number().over(order) - 1)
+def ranked_terms(stats: DataFrame, vocab_size: int | None = None) -> DataFrame:
+    """Terms numbered by falling corpus count, ties by term, as ``idx``; all or the first few."""
+    order = [F.desc("corpus_count"), F.asc("term")]
+    kept = stats if vocab_size is None else stats.orderBy(*order).limit(vocab_size)
+    return ranked(kept, order, "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def fit_terms(df: DataFrame, terms: str = "terms", form: str = "tfidf", min_df: int = 1,
-              vocab_size: int = UNIGRAM_VOCABULARY, n_docs: int | None = None) -> TermModel:
-    """Fit a vocabulary over every row of ``df``.
+              vocab_size: int | None = None, n_docs: int | None = None) -> TermModel:
+    """Fit a vocabulary over every row of ``df``: all terms with ``doc_freq >= min_df``.
 
-    The vocabulary is fetched once (it is bounded by ``vocab_size``), so the passes that
-    use it never recompute the corpus statistics.
+    ``vocab_size`` keeps only so many of the most frequent; no cut is made unless it is asked for.
     """
     if form not in FORMS:
         raise ValueError(f"unknown weight form: {form}")
-    spark = df.sparkSession
     n_docs = df.count() if n_docs is None else n_docs
-    stats = term_statistics(df, terms).where(F.col("doc_freq") >= min_df).persist()
+    stats = landed(term_statistics(df, terms).where(F.col("doc_freq") >= min_df), "terms")
     idf = F.log((F.lit(n_docs) + 1.0) / (F.col("doc_freq") + 1.0))
-    fitted = largest_terms(stats, vocab_size).withColumn("idf", idf).toArrow()
-    stats.unpersist()
-    return TermModel(spark.createDataFrame(fitted), fitted, fitted.num_rows, n_docs, form)
-
-
-def document_frequencies(df: DataFrame, terms: str = "terms") -> DataFrame:
-    return term_statistics(df, terms).select("term", "doc_freq")
+    fitted = landed(ranked_terms(stats, vocab_size).withColumn("idf", idf), "vocabulary")
+    return TermModel(fitted, fitted.count(), n_docs, form)
 
 
 def hashed_bucket(term: Column, buckets: int) -> Column:
@@ -165,24 +146,27 @@ def word_positions(df: DataFrame, key: str, tokens: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Dense 0-based numbers in key order for unique keys, without a single-task window.
+    """Dense 0-based numbers in key order for unique keys, without a single-task window."""
+    return ranked(df.select(key), [F.asc(key)], out)
+
+
+def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Dense 0-based numbers in the given order, beside all columns.
 
     A written, range-partitioned table keeps the ranges fixed between the two passes that
     count and number them.
     """
     ranges = landed(
-        df.select(key).repartitionByRange(key).withColumn("range", F.spark_partition_id()),
-        "ranges",
-    )
+        df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
     sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select(
         "range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("offset")
     )
-    inside = F.row_number().over(W.partitionBy("range").orderBy(key)) - 1
+    inside = F.row_number().over(W.partitionBy("range").orderBy(*order)) - 1
     return (
         ranges.withColumn("inside", inside)
         .join(F.broadcast(offsets), "range")  # one row per shuffle partition
-        .select(key, (F.col("offset") + F.col("inside")).cast("long").alias(out))
+        .select(*df.columns, (F.col("offset") + F.col("inside")).cast("long").alias(out))
     )
 
 

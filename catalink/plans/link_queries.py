@@ -25,7 +25,8 @@ TALK_ITEMS = "SELECT conv_id AS id, text FROM conversations WHERE turn = 0"
 # ---------------------------------------------------------------- term weights
 
 def _document_terms(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
-    return vectorize.with_terms(post_texts(spark, sf_dir), n=n)
+    """Terms of the documents, written once for the passes that fit and weigh."""
+    return landed(vectorize.with_terms(post_texts(spark, sf_dir), n=n), "terms")
 
 
 DOC_RUNS = f"""
@@ -50,13 +51,12 @@ WITH toks AS (SELECT doc_id AS post_id, {sq.cleaned('text')} AS t FROM documents
 w AS (SELECT post_id, unnest(t) AS a, generate_subscripts(t, 1) AS pos FROM toks),
 g AS (SELECT post_id, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o AS term FROM w
       WINDOW o AS (PARTITION BY post_id ORDER BY pos)),
-tf AS (SELECT post_id, term, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP BY ALL),
-v AS (SELECT term FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000)
-SELECT post_id, term, tf::DOUBLE AS weight FROM tf JOIN v USING (term)
+tf AS (SELECT post_id, term, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP BY ALL)
+SELECT post_id, term, tf::DOUBLE AS weight FROM tf
 """)
 def trigram_count_weights(spark, sf_dir):
     terms = _document_terms(spark, sf_dir, n=3)
-    model = vectorize.fit_terms(terms, form="count", vocab_size=vectorize.NGRAM_VOCABULARY)
+    model = vectorize.fit_terms(terms, form="count")
     return model.weights(terms).select("post_id", "term", "weight")
 
 
@@ -132,7 +132,7 @@ def link_by_text(spark, sf_dir):
 
 
 @query(f"""
-WITH {sq.weights(DOCS, ITEMS, 1, 10_000, 3)}, {sq.similarities(10)}, {sq.links(0.3)}
+WITH {sq.weights(DOCS, ITEMS, 1, 3)}, {sq.similarities(10)}, {sq.links(0.3)}
 SELECT post_id, item_id, round(s, 6) AS similarity FROM links
 """)
 def link_by_trigram(spark, sf_dir):

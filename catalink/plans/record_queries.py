@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalink import schemas
 from catalink.functions import ids
 from catalink.operators import features, joins, labels, metrics
 from catalink.operators.vectorize import numbered_keys
@@ -12,8 +11,8 @@ from catalink.plans import sqltext as sq, tables as tb
 from catalink.plans.registry import query
 from catalink.plans.tables import table
 from catalink.plans.text_queries import SENTIMENT_SQL, derived_lexicon
-from catalink.operators.sentiment import sentiment_mean, sentiment_score
-from catalink.session import scratch_path
+from catalink.operators.sentiment import sentiment_means, sentiment_score
+from catalink.session import landed, scratch_path
 from catalink.sources import readers, sinks
 
 
@@ -309,8 +308,14 @@ def store_metadata(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     apk = F.struct(F.md5(key.cast("binary")).alias("md5sum"),
                    F.concat(F.lit("com.p"), key).alias("package"), F.col("p_type").alias("kind"))
-    table(spark, sf_dir, "part").select(apk.alias("apk")).write.json(path)
-    return readers.store_ids(spark.read.schema(schemas.STORE_METADATA).json(path))
+    # a file holds one JSON array over several lines, which only a multi-line reader takes
+    parts = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / 500).alias("file"),
+        F.to_json(F.struct(apk.alias("apk"))).alias("json"))
+    files = parts.groupBy("file").agg(F.collect_list("json").alias("all"))
+    line = F.concat(F.lit("[\n"), F.array_join("all", ",\n"), F.lit("\n]"))
+    files.select("file", line.alias("value")).write.partitionBy("file").text(path)
+    return readers.read_store_metadata(spark, path)
 
 
 @query(f"WITH {tb.CHANGES_SQL} SELECT md5, old, new FROM changes")
@@ -505,9 +510,11 @@ WITH {sq.STORE_LINKS}, {SENTIMENT_SQL}
 SELECT app_id, round(avg(score), 6) AS mean, count(*) AS n FROM store_links JOIN scores ON doc_id = post_id GROUP BY app_id
 """)
 def mean_sentiment_per_app(spark, sf_dir):
-    positive, negative = derived_lexicon(spark, sf_dir)
-    mean = sentiment_mean(F.col("text"), positive, negative)
-    scored = _store_links(spark, sf_dir).select("app_id", sentiment_score(mean).alias("score"))
+    links = landed(_store_links(spark, sf_dir).select("app_id", "post_id", "text"), "links")
+    # a post of several links is scored once
+    means = sentiment_means(links.select("post_id", "text").distinct(),
+                            derived_lexicon(spark, sf_dir), "post_id")
+    scored = links.join(means, "post_id").select("app_id", sentiment_score(F.col("m")).alias("score"))
     return features.mean_per_app(scored).withColumn("mean", F.round("mean", 6))
 
 

@@ -83,15 +83,8 @@ store_links AS (
   FROM (SELECT id, text, unnest(urls) AS url FROM posts) WHERE contains(url, 'play.google'))
 """
 
-# Ground truth: the first turn of a conversation is the item, later turns are its posts.
-TALKS = """
-items AS (SELECT conv_id AS item_id, text FROM conversations WHERE turn = 0),
-posts AS (SELECT conv_id * 1000 + turn AS post_id, conv_id AS true_item_id, text
-          FROM conversations WHERE turn > 0)
-"""
-
 
-def weights(posts: str, items: str, min_df: int = 1, vocab_size: int = 1 << 18, n: int = 1) -> str:
+def weights(posts: str, items: str, min_df: int = 1, n: int = 1) -> str:
     """CTEs from (id, text) sources to unit-length TF-IDF weights ``w(side, id, term, w)``."""
     if n == 1:
         terms = "words AS (SELECT side, id, unnest(t) AS term FROM toks)"
@@ -110,8 +103,7 @@ toks AS (SELECT side, id, {cleaned('text')} AS t FROM corpus),
 tf AS (SELECT side, id, term, count(*) AS tf FROM words GROUP BY ALL),
 docs AS (SELECT count(*) AS n FROM corpus),
 stats AS (SELECT term, count(*) AS df, sum(tf) AS cnt FROM tf GROUP BY term HAVING count(*) >= {min_df}),
-vocab AS (SELECT * FROM stats ORDER BY cnt DESC, term LIMIT {vocab_size}),
-raw AS (SELECT side, id, term, tf * ln((n + 1.0) / (df + 1.0)) AS w FROM tf JOIN vocab USING (term), docs),
+raw AS (SELECT side, id, term, tf * ln((n + 1.0) / (df + 1.0)) AS w FROM tf JOIN stats USING (term), docs),
 norm AS (SELECT side, id, sqrt(sum(w * w)) AS len, count(*) AS active FROM raw GROUP BY side, id),
 w AS (SELECT side, id, term, w / len AS w, active FROM raw JOIN norm USING (side, id) WHERE len > 0)
 """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalink import schemas
-from catalink.functions import ids
 from catalink.operators import keywords
 from catalink.plans import sqltext as sq, tables as tb
 from catalink.plans.registry import query
@@ -72,18 +71,17 @@ CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN -1
 
 
 def _event_scores(events: DataFrame) -> DataFrame:
-    """Half of the events, scored by kind; checkout kinds are one topic, the rest the other."""
+    """All events, scored by kind; sign-up kinds are one topic, the rest the other."""
     return jobs.topic_scores(
         events, ts="ts", text="event_type", needle="sign", topic="sign", other="rest",
-        key="event_id", fraction=0.5, positive=GOOD_EVENTS, negative=BAD_EVENTS)
+        positive=GOOD_EVENTS, negative=BAD_EVENTS)
 
 
-_HALF = f"{ids.seeded_key_sql('event_id', 11)} < {int(0.5 * ids.PRIME)}"
 _WINDOWS_SQL = f"""
 SELECT time_bucket(INTERVAL 10 SECOND, ts, TIMESTAMP '1970-01-01') AS w,
        CASE WHEN contains(lower(event_type), 'sign') THEN 'sign' ELSE 'rest' END AS topic,
        avg({EVENT_SCORE}) AS mean, count(*) AS n
-FROM events WHERE {_HALF} GROUP BY ALL
+FROM events GROUP BY ALL
 """
 
 
@@ -106,15 +104,14 @@ def _windows(windows: DataFrame) -> DataFrame:
 
 @query(f"""
 SELECT epoch(w)::BIGINT AS window_start, topic, round(mean, 6) AS mean, n FROM ({_WINDOWS_SQL})
-WHERE w + INTERVAL 10 SECOND <= (SELECT max(ts) FROM events WHERE {_HALF}) - INTERVAL 1 MINUTE
 """)
 def topic_sentiment_stream(spark, sf_dir):
-    """The same windows from a stream with a one-minute watermark: those already closed."""
+    """The same windows from a stream with a one-minute watermark, open ones at its end included."""
     events = readers.stream_events(spark, sf_dir, EVENTS)
     out = scratch_path(spark, "windows")
-    jobs.drain(jobs.write_windows(jobs.topic_windows(_event_scores(events)), out,
-                                  scratch_path(spark, "progress"), interval=None))
-    return _windows(spark.read.parquet(out))
+    jobs.drain(jobs.write_latest(jobs.topic_windows(_event_scores(events)), out,
+                                 scratch_path(spark, "progress"), interval=None))
+    return _windows(jobs.latest_windows(spark, out))
 
 
 @query("SELECT event_id, event_type, round(value, 6) AS value FROM events")

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalink.operators.vectorize import (
-    NGRAM_VOCABULARY, UNIGRAM_VOCABULARY, TermModel, fit_terms, with_terms,
-)
-from catalink.session import scratch_path, spread
+from catalink.operators.vectorize import TermModel, fit_terms, with_terms
+from catalink.session import landed, scratch_path, spread
 from catalink.sources import readers
 from catalink.sources.readers import read_table
 
@@ -58,10 +56,12 @@ def stored_posts(spark: SparkSession, sf_dir: str) -> str:
 
 
 def benign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword lines with tabs: the first three words of an item, the next two, its package."""
+    """Keyword lines with tabs: all words of an item, three by three, and its package."""
     words = F.split(F.regexp_replace("text", r"[\t\n]", " "), " ")
-    line = F.concat_ws("\t", F.array_join(F.slice(words, 1, 3), " "),
-                       F.array_join(F.slice(words, 4, 2), " "),
+    threes = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 3).cast("int")),
+        lambda i: F.array_join(F.slice(words, 3 * i + 1, 3), " "))
+    line = F.concat_ws("\t", threes,
                        F.concat(F.lit("com.item"), F.col("item_id").cast("string")))
     return table(spark, sf_dir, "benchmark").select(line.alias("value"))
 
@@ -79,7 +79,8 @@ MALWARE_SQL = """
 SELECT ['com.p' || p_partkey, CASE WHEN p_size > 40 THEN 'unfound' ELSE p_name END] AS fields FROM part
 """
 BENIGN_SQL = r"""
-SELECT [array_to_string(t[1:3], ' '), array_to_string(t[4:5], ' '), 'com.item' || item_id] AS fields
+SELECT list_append([array_to_string(t[3 * i + 1:3 * i + 3], ' ') FOR i IN range(0, (len(t) + 2) // 3)],
+                   'com.item' || item_id) AS fields
 FROM (SELECT item_id, string_split(regexp_replace(text, '[\t\n]', ' ', 'g'), ' ') AS t FROM benchmark)
 """
 KEYWORD_ROWS_SQL = f"""
@@ -229,16 +230,12 @@ def talk_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def term_corpus(post_rows: DataFrame, item_rows: DataFrame, n: int = 1, min_df: int = 1,
                 stem: bool = False, form: str = "tfidf",
-                vocab_size: int | None = None) -> tuple[DataFrame, DataFrame, TermModel]:
+                ) -> tuple[DataFrame, DataFrame, TermModel]:
     """(posts, items, model) with terms in place of texts; the model is fitted on both sides.
 
-    A vocabulary of single words honours ``min_df``; n-grams are capped by frequency.
+    The texts are cleaned once: the terms are written and read by every later pass.
     """
-    if vocab_size is None:
-        vocab_size = UNIGRAM_VOCABULARY if n == 1 else NGRAM_VOCABULARY
-    n_docs = post_rows.count() + item_rows.count()
-    posts_t = with_terms(post_rows, n=n, stem=stem)
-    items_t = with_terms(item_rows, n=n, stem=stem)
+    posts_t = landed(with_terms(post_rows, n=n, stem=stem), "post-terms")
+    items_t = landed(with_terms(item_rows, n=n, stem=stem), "item-terms")
     both = posts_t.select("terms").unionAll(items_t.select("terms"))
-    return posts_t, items_t, fit_terms(both, form=form, min_df=min_df, vocab_size=vocab_size,
-                                       n_docs=n_docs)
+    return posts_t, items_t, fit_terms(both, form=form, min_df=min_df)

@@ -378,11 +378,9 @@ def token_app_matches(spark, sf_dir):
 
 # The lexicon is read off the labels: a word counts as positive when at least 90 % of the
 # labelled documents holding it are of good quality, as negative when at most 55 % are.
-LEXICON_SIZE = 500
 
-
-def derived_lexicon(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
-    """(positive, negative) words; the ``LEXICON_SIZE`` most widespread of each kind."""
+def derived_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, sign) of all words that qualify."""
     labelled = documents(spark, sf_dir, "doc_id", "text").join(
         table(spark, sf_dir, "labels"), "doc_id")
     words = labelled.select(
@@ -390,19 +388,17 @@ def derived_lexicon(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[s
         .alias("word")).where("word <> ''")
     shares = words.groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good")).where("n >= 5")
-    picked = []
-    for wanted in (F.col("good") * 100 >= F.col("n") * 90, F.col("good") * 100 <= F.col("n") * 55):
-        top = shares.where(wanted).orderBy(F.desc("n"), "word").limit(LEXICON_SIZE)
-        picked.append([row["word"] for row in top.collect()])
-    return picked[0], picked[1]
+    sign = F.when(F.col("good") * 100 >= F.col("n") * 90, 1).when(
+        F.col("good") * 100 <= F.col("n") * 55, -1)
+    return landed(shares.select("word", sign.alias("sign")).where("sign IS NOT NULL"), "lexicon")
 
 
 LEXICON_SQL = rf"""
 lw AS (SELECT DISTINCT doc_id, quality, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{Nd}}'']+')) AS word
        FROM documents JOIN labels USING (doc_id)),
 shares AS (SELECT word, count(*) AS n, sum(quality) AS good FROM lw WHERE word <> '' GROUP BY word HAVING count(*) >= 5),
-good AS (SELECT word FROM shares WHERE good * 100 >= n * 90 ORDER BY n DESC, word LIMIT {LEXICON_SIZE}),
-bad AS (SELECT word FROM shares WHERE good * 100 <= n * 55 ORDER BY n DESC, word LIMIT {LEXICON_SIZE})
+good AS (SELECT word FROM shares WHERE good * 100 >= n * 90),
+bad AS (SELECT word FROM shares WHERE good * 100 <= n * 55)
 """
 SENTIMENT_SQL = rf"""
 {LEXICON_SQL},
@@ -423,9 +419,7 @@ scores AS (SELECT d.doc_id, coalesce(m, -1) AS m,
 
 @query(f"WITH {SENTIMENT_SQL} SELECT doc_id, round(m, 6) AS mean, score FROM scores")
 def post_sentiment(spark, sf_dir):
-    positive, negative = derived_lexicon(spark, sf_dir)
-    mean = sentiment.sentiment_mean(F.col("text"), positive, negative)
-    rows = documents(spark, sf_dir, "doc_id", "text").select(
-        "doc_id", mean.alias("m"))
+    rows = sentiment.sentiment_means(documents(spark, sf_dir, "doc_id", "text"),
+                                     derived_lexicon(spark, sf_dir), "doc_id")
     return rows.select("doc_id", F.round("m", 6).alias("mean"),
                        sentiment.sentiment_score(F.col("m")).alias("score"))

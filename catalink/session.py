@@ -32,9 +32,11 @@ def build_session(master: str = "local[8]", app: str = "catalink", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names; a local one only on a local master (tests)."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="catalink-")
         spark.conf.set(CHECKPOINT_CONF, named)
     if spark.sparkContext.getCheckpointDir() is None:

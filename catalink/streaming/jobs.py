@@ -142,6 +142,28 @@ def write_windows(windows: DataFrame, out: str, checkpoint: str,
     return _start(writer, interval)
 
 
+def write_latest(windows: DataFrame, out: str, checkpoint: str,
+                 interval: str | None = "10 seconds") -> StreamingQuery:
+    """Write the windows each micro-batch changed, open ones too, to a part of their own.
+
+    A repeated batch replaces its part, so nothing counts twice.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = (windows.writeStream.outputMode("update").foreachBatch(write)
+              .option("checkpointLocation", checkpoint))
+    return _start(writer, interval)
+
+
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """(window_start, topic, mean, n): the last state written of each window."""
+    return spark.read.parquet(out).groupBy("window_start", "topic").agg(
+        F.max_by(F.struct("mean", "n"), "batch").alias("last")).select(
+        "window_start", "topic", "last.*")
+
+
 def drain(query: StreamingQuery, timeout: float | None = None) -> None:
     """Wait for a draining query and raise what it raised."""
     query.awaitTermination(timeout) if timeout else query.awaitTermination()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalink.operators import factor, link
-from catalink.operators.vectorize import fit_terms, largest_terms, number_rows, packed, term_statistics
+from catalink.operators.vectorize import fit_terms, number_rows, packed, ranked_terms, term_statistics
 
 VOCABULARY = [f"w{i}" for i in range(30)]
 
@@ -109,7 +109,7 @@ def test_link_groups(spark):
 
 def test_vocabulary_cap_keeps_the_most_frequent(spark):
     frame = spark.createDataFrame([(["a"] * 3 + ["b"] * 2 + ["c", "d", "e"],), (["b"],)], "terms array<string>")
-    top = largest_terms(term_statistics(frame), 3).orderBy("idx").collect()
+    top = ranked_terms(term_statistics(frame), 3).orderBy("idx").collect()
     assert [(r["term"], r["corpus_count"]) for r in top] == [("a", 3), ("b", 3), ("c", 1)]
     assert fit_terms(frame, min_df=2).vocabulary.first()["term"] == "b"
     with pytest.raises(ValueError):
