@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from catalink.functions.ids import row_key
 from catalink.session import landed
@@ -27,28 +27,50 @@ def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
                 broadcast_rows: int = BROADCAST_ROWS, rows_per_salt: int = ROWS_PER_SALT,
                 ) -> DataFrame:
-    """Join on ``key`` where any left key may hold a large share of the rows.
-
-    A small right side is broadcast after its size was checked. Otherwise the left keys are
-    counted (combined on the map side) and each hot key is split over several salts: left
-    rows take one salt, right rows are copied to all of them. Works for inner, left,
-    left_semi and left_anti joins.
+    """Join on ``key`` where any key may hold a large share of the rows, on either side.
+
+    A small right side is broadcast after its size was checked. Otherwise the keys of both sides
+    are counted (combined on the map side) and each hot key is split into a grid of tasks: a left
+    row takes one of its left salts and is copied to all right ones, a right row the other way
+    round. Works for inner, left, left_semi and left_anti joins; only an inner join may copy
+    left rows, semi and anti joins need each right key once, and a left join leaves its right
+    rows whole.
     """
     if within(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
-    counts = landed(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    if how in ("left_semi", "left_anti"):
+        right = right.select(key).distinct()
+    left_salts = _salts(left, key, "left_salts", rows_per_salt)
+    spread_left = left.join(left_salts, key, "left").withColumn(
+        "salt", _salt_of(left, F.col("left_salts")))
+    copies = right.join(left_salts, key, "left").withColumn("salt", _all(F.col("left_salts")))
+    on = [key, "salt"]
+    if how == "inner":
+        right_salts = _salts(right, key, "right_salts", rows_per_salt)
+        spread_left = spread_left.join(right_salts, key, "left").withColumn(
+            "part", _all(F.col("right_salts"))).drop("right_salts")
+        copies = copies.join(right_salts, key, "left").withColumn(
+            "part", _salt_of(right, F.col("right_salts"))).drop("right_salts")
+        on.append("part")
+    return spread_left.drop("left_salts").join(
+        copies.drop("left_salts"), on, how).drop("salt", "part")
+
+
+def _salts(side: DataFrame, key: str, out: str, rows_per_salt: int) -> DataFrame:
+    """(key, number of salts) of the hot keys of one side: at most HOT_KEYS rows, broadcast."""
+    counts = landed(side.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = max(rows_per_salt, -(-total // HOT_KEYS))
-    hot = counts.where(F.col("n") > share).select(
-        key, F.ceil(F.col("n") / share).cast("int").alias("salts"))
-    # hot has at most total / share <= HOT_KEYS rows, so this broadcast is bounded.
-    hot = F.broadcast(hot)
-    salts = F.coalesce(F.col("salts"), F.lit(1))
-    spread_left = left.join(hot, key, "left").withColumn(
-        "salt", F.pmod(row_key(F.struct(*left.columns)), salts).cast("int"))
-    copies = right.join(hot, key, "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return spread_left.drop("salts").join(copies.drop("salts"), [key, "salt"], how).drop("salt")
+    return F.broadcast(counts.where(F.col("n") > share).select(
+        key, F.ceil(F.col("n") / share).cast("int").alias(out)))
+
+
+def _salt_of(side: DataFrame, salts: Column) -> Column:
+    return F.pmod(row_key(F.struct(*side.columns)), F.coalesce(salts, F.lit(1))).cast("int")
+
+
+def _all(salts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))
 
 
 def exists_in(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalink.functions.ids import fold_sql, seeded_key_sql
-from catalink.operators import factor, features, labels, learn, sampling
+from catalink.operators import factor, features, labels, learn, metrics, sampling
 from catalink.plans import programs, sqltext as sq
+from catalink.plans.link_queries import TALK_ITEMS, TALK_POSTS
 from catalink.plans.record_queries import mislinked
 from catalink.plans.registry import query
 from catalink.plans.tables import item_texts, post_texts, posts, table, talk_texts, term_corpus
+from catalink.plans.text_queries import STEM_SQL
 from catalink.session import landed
 
 
@@ -90,7 +92,7 @@ def with_and_without_posts(spark, sf_dir):
 @query()
 def mislabelled_auprc(spark, sf_dir):
     """Trained on the label of the estimated app, scored against the true app's label."""
-    rows = mislinked(spark, sf_dir).where(F.col("real_label").isNotNull())
+    rows = mislinked(spark, sf_dir)
     joint = landed(rows.select(
         "post_id", "label", "real_label",
         features.combined(F.col("features"), F.col("vector")).alias("features")), "mislinked")
@@ -125,8 +127,7 @@ def old_train_new_test(spark, sf_dir):
 @query()
 def positive_unlabelled_test(spark, sf_dir):
     """Label-regularised logistic regression on old positives and unlabelled new rows."""
-    return learn.positive_unlabelled_experiment(*_dated(spark, sf_dir), "o_orderkey",
-                                                iterations=10)
+    return learn.positive_unlabelled_experiment(*_dated(spark, sf_dir), "o_orderkey")
 
 
 @query("""
@@ -141,11 +142,44 @@ def dated_class_balance(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _accuracy_sql(n: int, form: str, stem: bool) -> str:
+    """Posts ranked and the share whose true item comes first, by brute force."""
+    weigh = "tf" if form == "count" else "tf * ln((n + 1.0) / (df + 1.0))"
+    ctes = sq.weights(TALK_POSTS, TALK_ITEMS, n=n).replace(
+        "tf * ln((n + 1.0) / (df + 1.0)) AS w", f"{weigh} AS w")
+    if stem:
+        # stems of all words, put back in the place of the words
+        ctes = ctes.replace("toks AS (", "plain AS (") .replace(
+            "singles AS (" if n > 1 else "words AS (", f"""
+words AS (SELECT DISTINCT unnest(t) AS word FROM plain), {STEM_SQL},
+spread AS (SELECT side, id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM plain),
+toks AS (SELECT side, id, list(CASE WHEN length(word) < 3 THEN word ELSE w END ORDER BY pos) AS t
+         FROM spread JOIN s9 USING (word) GROUP BY side, id),
+""" + ("singles AS (" if n > 1 else "terms AS ("), 1)
+        if n > 1:
+            ctes = ctes.replace("words AS (SELECT * FROM grams", "terms AS (SELECT * FROM grams")
+        ctes = ctes.replace("count(*) AS tf FROM words", "count(*) AS tf FROM terms")
+    return f"""
+SELECT {n} AS n, 1 AS min_df, {str(stem).lower()} AS stem, '{form}' AS form, count(*) AS n_posts,
+       avg(CASE WHEN rank = 0 THEN 1.0 ELSE 0.0 END) AS accuracy
+FROM (WITH {ctes}, {sq.similarities()},
+      posts AS (SELECT DISTINCT post_id, post_id // 1000 AS true_item_id FROM sims
+                WHERE post_id // 1000 IN (SELECT id FROM w WHERE side = 'i')),
+      own AS (SELECT p.post_id, coalesce(s, 0) AS s FROM posts p LEFT JOIN sims x
+              ON x.post_id = p.post_id AND x.item_id = p.true_item_id)
+      SELECT o.post_id, count(x.s) AS rank FROM own o
+      LEFT JOIN sims x ON x.post_id = o.post_id AND x.s > o.s GROUP BY o.post_id)
+"""
+
+
+GRID = [(n, form, stem) for n in (1, 2) for form in ("count", "tfidf") for stem in (False, True)]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_accuracy_sql(*g)})" for g in GRID))
 def parameter_grid(spark, sf_dir):
     """Ground-truth accuracy for combinations of n, weight form and stemming."""
     options = [programs.TextOptions(n=n, form=form, stem=stem, min_active=0)
-               for n in (1, 2) for form in ("count", "tfidf") for stem in (False, True)]
+               for n, form, stem in GRID]
     return programs.grid(*talk_texts(spark, sf_dir), options)
 
 
@@ -182,6 +216,27 @@ def factor_vectors(spark, sf_dir):
     return vectors.select("key", F.size("vector").alias("width"))
 
 
+def _with_truth(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    post_vectors, item_vectors = _split(vectors)
+    return (post_vectors.withColumn("true_item_id", F.floor(F.col("post_id") / 1000)), item_vectors)
+
+
+@query()
+def reduced_item_ranks(spark, sf_dir):
+    """Rank of each post's true item in a space of sixteen term directions."""
+    weights, width = _talk_weights(spark, sf_dir)
+    rows = landed(factor.sparse_rows(weights, "key"), "rows")
+    projected = factor.fit_term_space(rows, width, 16).project(rows, "key", width)
+    return factor.dense_ranks(*_with_truth(projected))
+
+
+@query()
+def reduced_ranking_quality(spark, sf_dir):
+    """Exact matches and recall levels of the true item among factors."""
+    ranks = factor.dense_ranks(*_with_truth(_factors(spark, sf_dir, rank=16)))
+    return metrics.ranking_quality(landed(ranks, "ranks"))
+
+
 @query()
 def link_by_factors(spark, sf_dir):
     """Posts linked to items by the cosine of their factors, above 0.30."""

@@ -122,7 +122,7 @@ def test_number_rows_are_dense_and_ordered(spark):
     assert [r["n"] for r in rows] == list(range(1000))
 
 
-def test_dense_links_by_slices(spark):
+def test_dense_links_by_blocks(spark):
     rng = np.random.default_rng(5)
     p, i = rng.normal(size=(60, 4)), rng.normal(size=(17, 4))
     posts = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(p)], "post_id long, vector array<double>")
@@ -130,11 +130,57 @@ def test_dense_links_by_slices(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     scores = unit(p) @ unit(i).T
     want = {k: int(r.argmax()) for k, r in enumerate(scores) if r.max() > 0.5}
-    for limit in (factor.SLICE_BYTES, 100):
-        links = factor.best_dense(posts, items, threshold=0.5, slice_bytes=limit).collect()
+    for limit in (factor.BLOCK_BYTES, 100):
+        links = factor.best_dense(posts, items, threshold=0.5, block_bytes=limit).collect()
         assert {r["post_id"]: r["item_id"] for r in links} == want
 
 
+def test_dense_ranks_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    p, i = rng.normal(size=(50, 4)), rng.normal(size=(13, 4))
+    posts = spark.createDataFrame([(k, k % 15, v.tolist()) for k, v in enumerate(p)],
+                                  "post_id long, true_item_id long, vector array<double>")
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(i)], "item_id long, vector array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = unit(p) @ unit(i).T
+    want = {k: (int(r.argmax()), int((r > r[k % 15]).sum())) for k, r in enumerate(scores) if k % 15 < 13}
+    for limit in (factor.BLOCK_BYTES, 100):
+        ranks = factor.dense_ranks(posts, items, block_bytes=limit).collect()
+        assert {r["post_id"]: (r["item_id"], r["rank"]) for r in ranks} == want
+
+
+def _tied(spark, kind, names):
+    """Items with one and the same text or vector."""
+    posts = spark.createDataFrame([(7, ["x", "y"], [1.0, 2.0])],
+                                  "post_id long, terms array<string>, vector array<double>")
+    items = spark.createDataFrame([(n, ["x", "y"], [1.0, 2.0]) for n in names],
+                                  "item_id string, terms array<string>, vector array<double>")
+    return posts, items.withColumn("item_id", F.col("item_id").cast(kind))
+
+
+@pytest.mark.parametrize("kind,names,first", [
+    ("string", ["b", "ab", "a"], "a"), ("string", ["bc", "b"], "b"), ("smallint", ["3", "-2", "10"], -2),
+    ("long", ["3", "2"], 2)])
+def test_ties_go_to_the_smallest_id_in_every_path(spark, kind, names, first):
+    posts, items = _tied(spark, kind, names)
+    model = fit_terms(posts.select("terms").unionAll(items.select("terms")), form="count")
+    for entries in (0, link.INDEX_ENTRIES):
+        got = link.best_items(posts, items, model, max_entries=entries).collect()
+        assert [r["item_id"] for r in got] == [first]
+    for size in (16, factor.BLOCK_BYTES):
+        got = factor.best_dense(posts, items, block_bytes=size).collect()
+        assert [r["item_id"] for r in got] == [first]
+    links = items.select(F.lit(1).alias("item"), F.col("item_id").alias("post_id"), F.lit(0.5).alias("similarity"))
+    assert link.best_post_per_item(links, item_key="item").first()["post_id"] == first
+
+
+def test_vocabulary_keeps_every_term(spark):
+    frame = spark.range(3000).select(F.array(F.concat(F.lit("t"), F.col("id").cast("string")), F.lit("all")).alias("terms"))
+    model = fit_terms(frame, form="count")
+    rows = model.vocabulary.orderBy("idx").collect()
+    assert model.size == 3001 and [r["idx"] for r in rows] == list(range(3001)) and rows[0]["term"] == "all"
+
+
 def test_term_space_matches_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.where(rng.random((40, 12)) < 0.4, rng.random((40, 12)), 0.0)

@@ -214,3 +214,24 @@ def test_sinks(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["kv"]
     again = sinks.write_cache(frame, str(tmp_path / "cache"))
     assert again.collect() == frame.collect()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_lookup_join_with_keys_hot_on_both_sides(spark, how):
+    """One key holds nine tenths of either side."""
+    left = spark.range(500).selectExpr("id", "IF(id % 10 < 9, 0, id) AS k")
+    right = spark.range(300).selectExpr("id AS r", "IF(id % 10 < 9, 0, id + 200) AS k")
+    got = joins.lookup_join(left, right, "k", how, broadcast_rows=0, rows_per_salt=50)
+    want = left.join(right, "k", how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from catalink.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]")))
