@@ -3,7 +3,8 @@
 A text is the mean of the embeddings of its byte n-grams, words marked by blanks. The model is
 trained in numpy on a bounded sample of labelled documents: ROWS_PER_LANGUAGE rows of each
 language, a window of SAMPLE_CHARS characters of each. A fifth of the sample calibrates it: a
-temperature for the probabilities, and the probability under which a prediction is rejected.
+temperature for the probabilities, the probability under which a prediction is rejected, and the
+share of n-grams met in training under which a text is of no language that was learned.
 Prediction reads whole texts.
 """
 
@@ -22,9 +23,9 @@ from catalink.llm.pretokens import shared
 
 #: Bounds of the training sample.
 ROWS_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 1500, 1500, 200
-BUCKET_BITS, WIDTH, EPOCHS, RATE = 16, 12, 4, 0.5
-#: Share of well-labelled calibration texts that may be rejected, and the highest threshold.
-REJECTED, HIGHEST = 0.001, 0.5
+BUCKET_BITS, WIDTH, EPOCHS, RATE = 18, 12, 4, 0.5
+#: Share of well-labelled calibration texts that may be rejected, and the highest thresholds.
+REJECTED, HIGHEST, HIGHEST_KNOWN = 0.001, 0.5, 0.5
 #: Bytes hashed at a time.
 WINDOW = 1 << 20
 UNKNOWN = "und"
@@ -47,36 +48,41 @@ def subwords(text: str):
 
 @dataclass
 class Model:
-    """Log-odds of each bucket for each language, already averaged over the embedding."""
+    """Log-odds of each bucket for each language, and last whether training met the bucket."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    least_known: float = 0.0
 
-    def scores(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.bias)), 0
+    def scores(self, text: str) -> tuple[np.ndarray, float]:
+        """Log-odds of the languages and the share of known n-grams."""
+        total, n = np.zeros(len(self.bias) + 1), 0
         for found in subwords(text):
             total += self.table[found].sum(axis=0, dtype=np.float64)
             n += len(found)
-        return total / max(n, 1) + self.bias
+        total /= max(n, 1)
+        return total[:-1] + self.bias, float(total[-1])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, False
-        z = self.scores(text) / self.temperature
+        z, known = self.scores(text)
+        z = z / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] >= self.threshold)
+        return (self.languages[best], float(p[best]),
+                bool(p[best] >= self.threshold and known >= self.least_known))
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Stochastic gradient descent, one text at a time, then calibration on every fifth text."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     target = np.array([languages.index(x) for x in labels])
     order = rng.permutation(len(texts))
@@ -102,9 +108,12 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             out -= rate * np.outer(mean, p)
             bias -= 0.1 * rate * p
             step += 1
-    model = Model(languages, table @ out, bias.astype(np.float64))
-    z = np.array([model.scores(texts[i]) for i in held])
-    own = target[held]
+    met = np.zeros((len(table), 1), np.float32)
+    for found, _ in counted.values():
+        met[found] = 1
+    model = Model(languages, np.hstack([table @ out, met]), bias.astype(np.float64))
+    scored = [model.scores(texts[i]) for i in held]
+    z, known, own = np.array([x for x, _ in scored]), [k for _, k in scored], target[held]
 
     def loss(temperature: float) -> float:
         s = z / temperature
@@ -118,6 +127,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     right = p.argmax(axis=1) == own
     if right.any():
         model.threshold = float(min(HIGHEST, np.quantile(p.max(axis=1)[right], REJECTED)))
+        model.least_known = float(min(HIGHEST_KNOWN, np.quantile(known, REJECTED)))
     return model
 
 
