@@ -12,9 +12,9 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every end of a link (columns a, b of one ordered type); root: least node.
 
     Large and small stars in turn until the stars stay as they are. Minima are combined before
-    they are shuffled, so a node in very many links is no burden; every round is written, so lost
-    executors cost one round at most. Links of a node to itself and repeated links do no harm;
-    without links the result is empty.
+    they are shuffled and written before they are joined, so Spark can split the join of a node in
+    very many links. Every round is written, so lost executors cost one round at most. Links of a
+    node to itself and repeated links do no harm; without links the result is empty.
     """
     stars = landed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .filter("a != b").distinct(), "links")
@@ -25,11 +25,11 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = state
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (both.join(least, "a").filter("b > a")
-                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-                 .filter("a != b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = landed(both.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = landed(both.join(least, "a").filter("b > a")
+                       .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+                       .filter("a != b").distinct(), "large")
+        least = landed(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b")))
                  .filter("a != b").distinct())
