@@ -61,7 +61,7 @@ def scan_change_counters(changes: DataFrame, old: str = "old", new: str = "new",
 def joined_scans(ids: DataFrame, old: DataFrame, new: DataFrame, app_key: str = "app_id",
                  key: str = "md5") -> DataFrame:
     """(md5, old, new): old counts by app and new counts by md5, for ids known to both."""
-    return lookup_join(ids, old, app_key).join(new, key).select(key, "old", "new")
+    return lookup_join(lookup_join(ids, old, app_key), new, key).select(key, "old", "new")
 
 
 def apps_per_class(links: DataFrame, counts: DataFrame, app_key: str = "app_id",

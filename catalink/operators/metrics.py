@@ -1,14 +1,16 @@
 """Link quality, ranking quality, precision-recall and ROC curves.
 
-Curves are built over a fixed number of score buckets, so everything after the first
-(map-side combined) count works on a bounded number of rows.
+Curves have one point per distinct score. Scores are counted with a map-side combine and summed up
+over score ranges, so no task sees all of them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from catalink.operators.ordered import running_sums
 
 RECALL_LEVELS = (0.01, 0.03, 0.05, 0.1, 0.15, 0.2, 0.3)
 
@@ -34,33 +36,30 @@ def scored_ranks(ranks: DataFrame, rank: str = "rank", confidence: str = "confid
         F.round(F.col(confidence) / F.lit(largest), 9).alias("score"))
 
 
-def bucket_counts(scored: DataFrame, bins: int) -> DataFrame:
-    """(bucket, n, pos): counts per score bucket of width 1/bins; at most bins + 1 rows."""
-    return scored.groupBy(F.floor(F.col("score") * bins).cast("int").alias("bucket")).agg(
+def curve(scored: DataFrame) -> DataFrame:
+    """One row per distinct score: tp, fp, recall, precision, fpr of all rows down to it, and the
+    same just above it as recall_before, precision_before, fpr_before."""
+    counts = scored.groupBy("score").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos"))
+    points = running_sums(counts, [F.desc("score")], {"tp": "pos", "taken": "n"})
+    all_pos, total = points.agg(F.sum("pos"), F.sum("n")).first()
+    all_pos, total = all_pos or 0, total or 0
 
+    def columns(tp: Column, taken: Column, end: str, start: float | None = None) -> list[Column]:
+        precision = F.try_divide(tp, taken)
+        return [_share(tp, all_pos).alias(f"recall{end}"),
+                (precision if start is None else F.coalesce(precision, F.lit(start)))
+                .alias(f"precision{end}"),
+                _share(taken - tp, total - all_pos).alias(f"fpr{end}")]
 
-def curve(scored: DataFrame, bins: int = 100) -> DataFrame:
-    """One row per score bucket, best first: tp, fp, recall, precision, fpr."""
-    down = W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    cumulative = bucket_counts(scored, bins).select(
-        "bucket",
-        F.sum("pos").over(down).alias("tp"),
-        (F.sum("n").over(down) - F.sum("pos").over(down)).alias("fp"),
-        F.sum("pos").over(whole).alias("all_pos"),
-        (F.sum("n").over(whole) - F.sum("pos").over(whole)).alias("all_neg"),
-    )
-    return cumulative.select(
-        "bucket", "tp", "fp",
-        _share(F.col("tp"), F.col("all_pos")).alias("recall"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        _share(F.col("fp"), F.col("all_neg")).alias("fpr"),
-    )
+    return points.select(
+        "score", "tp", (F.col("taken") - F.col("tp")).alias("fp"),
+        *columns(F.col("tp"), F.col("taken"), ""),
+        *columns(F.col("tp") - F.col("pos"), F.col("taken") - F.col("n"), "_before", 1.0))
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(0.0)
+def _share(part: Column, whole: int) -> Column:
+    return part / F.lit(whole) if whole else F.lit(0.0)
 
 
 def areas(points: DataFrame) -> DataFrame:
@@ -69,16 +68,11 @@ def areas(points: DataFrame) -> DataFrame:
     The precision-recall curve starts at (0, 1); the ROC curve starts at (0, 0) and ends
     at (1, 1).
     """
-    order = W.orderBy(F.desc("bucket"))
-
-    def before(column: str, start: float) -> Column:
-        return F.lag(column, 1, start).over(order)
-
     strips = points.select(
-        ((F.col("recall") - before("recall", 0.0))
-         * (F.col("precision") + before("precision", 1.0)) / 2).alias("pr"),
-        ((F.col("fpr") - before("fpr", 0.0))
-         * (F.col("recall") + before("recall", 0.0)) / 2).alias("roc"),
+        ((F.col("recall") - F.col("recall_before"))
+         * (F.col("precision") + F.col("precision_before")) / 2).alias("pr"),
+        ((F.col("fpr") - F.col("fpr_before"))
+         * (F.col("recall") + F.col("recall_before")) / 2).alias("roc"),
         "fpr", "recall")
     # The closing strip runs from the last point to (1, 1).
     return strips.agg(
@@ -88,7 +82,7 @@ def areas(points: DataFrame) -> DataFrame:
 
 
 def link_quality(links: DataFrame, rank: str = "rank", confidence: str = "confidence",
-                 item: str = "item_id", bins: int = 100) -> DataFrame:
+                 item: str = "item_id") -> DataFrame:
     """(metric, value) rows describing a set of links."""
     right = F.col(rank) == 0
     counts = links.agg(
@@ -103,7 +97,7 @@ def link_quality(links: DataFrame, rank: str = "rank", confidence: str = "confid
     per_item = links.groupBy(item).agg(F.max(right.cast("int")).alias("hit")).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("hit").alias("n_items_right"),
         F.avg("hit").alias("share_items_right"))
-    curve_areas = areas(curve(scored_ranks(links, rank, confidence), bins))
+    curve_areas = areas(curve(scored_ranks(links, rank, confidence)))
     return reduce(DataFrame.unionByName, map(long_metrics, (counts, per_item, curve_areas)))
 
 
@@ -163,13 +157,11 @@ def class_balance(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def lowest_threshold(links: DataFrame, goal: float, bins: int = 1000, rank: str = "rank",
+def lowest_threshold(links: DataFrame, goal: float, rank: str = "rank",
                      confidence: str = "confidence") -> DataFrame:
-    """One row: the lowest confidence bucket whose links from it upwards reach ``goal``
-    precision, with the number of links it keeps; null when none does."""
-    points = curve(scored_ranks(links, rank, confidence), bins)
-    reached = points.where(F.col("precision") >= goal)
+    """One row: the lowest confidence whose links from it upwards reach ``goal`` precision,
+    with the number of links it keeps; null when none does."""
+    reached = curve(scored_ranks(links, rank, confidence)).where(F.col("precision") >= goal)
     largest = scalar(links.agg(F.max(confidence)))
-    return reached.agg(
-        (F.min("bucket") / F.lit(bins) * F.lit(largest)).alias("threshold"),
-        F.max(F.col("tp") + F.col("fp")).alias("n_kept"))
+    return reached.agg((F.min("score") * F.lit(largest)).alias("threshold"),
+                       F.max(F.col("tp") + F.col("fp")).alias("n_kept"))

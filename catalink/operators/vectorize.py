@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from catalink.functions.text import clean_tokens, ngrams, term_runs
 from catalink.functions.stem import stem_tokens
 from catalink.operators.joins import lookup_join
+from catalink.operators.ordered import ranked
 from catalink.session import landed
 
 FORMS = ("count", "binary", "tfidf")
@@ -150,26 +151,6 @@ def number_rows(df: DataFrame, key: str, out: str) -> DataFrame:
     return ranked(df.select(key), [F.asc(key)], out)
 
 
-def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """Dense 0-based numbers in the given order, beside all columns.
-
-    A written, range-partitioned table keeps the ranges fixed between the two passes that
-    count and number them.
-    """
-    ranges = landed(
-        df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
-    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select(
-        "range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("offset")
-    )
-    inside = F.row_number().over(W.partitionBy("range").orderBy(*order)) - 1
-    return (
-        ranges.withColumn("inside", inside)
-        .join(F.broadcast(offsets), "range")  # one row per shuffle partition
-        .select(*df.columns, (F.col("offset") + F.col("inside")).cast("long").alias(out))
-    )
-
-
 def packed(weights: DataFrame, key: str) -> DataFrame:
     """Long weights regrouped to one row per key: (key, idx array, weight array) in idx order."""
     entries = F.array_sort(F.collect_list(F.struct("idx", "weight")))

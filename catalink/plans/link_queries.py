@@ -257,25 +257,24 @@ def graded_links(spark, sf_dir):
     return _graded_links(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 
-def _curve_sql(bins: int) -> str:
-    return f"""
+CURVE_SQL = """
 scored AS (SELECT CASE WHEN rank = 0 THEN 1 ELSE 0 END AS label,
                   round(confidence / (SELECT max(confidence) FROM graded), 9) AS score FROM graded),
-buckets AS (SELECT floor(score * {bins})::INTEGER AS bucket, count(*) AS n, sum(label) AS pos FROM scored GROUP BY 1),
-cum AS (SELECT bucket, sum(pos) OVER d AS tp, sum(n) OVER d - sum(pos) OVER d AS fp,
-               sum(pos) OVER () AS p, sum(n) OVER () - sum(pos) OVER () AS q FROM buckets
-        WINDOW d AS (ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-pts AS (SELECT bucket, tp::BIGINT AS tp, fp::BIGINT AS fp, CASE WHEN p > 0 THEN tp / p ELSE 0 END AS recall,
+counts_by_score AS (SELECT score, count(*) AS n, sum(label) AS pos FROM scored GROUP BY score),
+cum AS (SELECT score, sum(pos) OVER d AS tp, sum(n) OVER d - sum(pos) OVER d AS fp,
+               sum(pos) OVER () AS p, sum(n) OVER () - sum(pos) OVER () AS q FROM counts_by_score
+        WINDOW d AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pts AS (SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp, CASE WHEN p > 0 THEN tp / p ELSE 0 END AS recall,
                tp / (tp + fp) AS precision, CASE WHEN q > 0 THEN fp / q ELSE 0 END AS fpr FROM cum),
 strips AS (SELECT (recall - lag(recall, 1, 0) OVER o) * (precision + lag(precision, 1, 1) OVER o) / 2 AS pr,
                   (fpr - lag(fpr, 1, 0) OVER o) * (recall + lag(recall, 1, 0) OVER o) / 2 AS roc, fpr, recall
-           FROM pts WINDOW o AS (ORDER BY bucket DESC)),
+           FROM pts WINDOW o AS (ORDER BY score DESC)),
 areas AS (SELECT sum(pr) AS auprc, sum(roc) + (1 - max(fpr)) * (1 + max(recall)) / 2 AS auroc FROM strips)
 """
 
 
 @query(f"""
-WITH {TRUTH_LINKS}, {_curve_sql(100)},
+WITH {TRUTH_LINKS}, {CURVE_SQL},
 counts AS (SELECT count(*) AS n, count(*) FILTER (rank = 0) AS r, count(*) FILTER (rank <> 0) AS x,
                   avg(confidence) FILTER (rank = 0) AS cr, avg(confidence) FILTER (rank <> 0) AS cx,
                   avg(confidence) AS c FROM graded),
@@ -298,14 +297,14 @@ def link_quality(spark, sf_dir):
 
 
 @query(f"""
-WITH {TRUTH_LINKS}, {_curve_sql(100)}
-SELECT bucket, tp, fp, round(recall, 6) AS recall, round(precision, 6) AS precision, round(fpr, 6) AS fpr FROM pts
+WITH {TRUTH_LINKS}, {CURVE_SQL}
+SELECT round(score, 6) AS score, tp, fp, round(recall, 6) AS recall, round(precision, 6) AS precision, round(fpr, 6) AS fpr FROM pts
 """)
 def curve_points(spark, sf_dir):
     """Precision-recall and ROC points of the links by confidence."""
     scored = metrics.scored_ranks(_graded_links(spark, sf_dir))
     return metrics.curve(scored).select(
-        "bucket", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "fpr")])
+        "tp", "fp", *[F.round(c, 6).alias(c) for c in ("score", "recall", "precision", "fpr")])
 
 
 _LEVELS = " UNION ALL ".join(
@@ -364,13 +363,13 @@ def accepted_link_texts(spark, sf_dir):
     """Accepted links with every text of their estimated item; several texts multiply."""
     links = metrics.accepted(_graded_links(spark, sf_dir), 0.3)
     texts = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "item_id")
-    return links.join(texts, "item_id").select(
+    return joins.lookup_join(links, texts, "item_id").select(
         "post_id", "item_id", "turn", F.length("text").cast("long").alias("n_chars"))
 
 
 @query(f"""
-WITH {TRUTH_LINKS}, {_curve_sql(1000)}
-SELECT round(min(bucket) / 1000 * (SELECT max(confidence) FROM graded), 6) AS threshold, max(tp + fp)::BIGINT AS n_kept
+WITH {TRUTH_LINKS}, {CURVE_SQL}
+SELECT round(min(score) * (SELECT max(confidence) FROM graded), 6) AS threshold, max(tp + fp)::BIGINT AS n_kept
 FROM pts WHERE precision >= 0.5
 """)
 def confidence_threshold(spark, sf_dir):

@@ -73,7 +73,7 @@ def test_numeric_features_refuse_text(spark):
 
 def areas_of(spark, rows):
     ranks = spark.createDataFrame(rows, "rank int, confidence double")
-    return metrics.areas(metrics.curve(metrics.scored_ranks(ranks), 1000)).first()
+    return metrics.areas(metrics.curve(metrics.scored_ranks(ranks))).first()
 
 
 def test_areas(spark):
