@@ -6,7 +6,8 @@ import importlib
 
 from catalink.plans import registry
 
-MODULES = ("text_queries", "link_queries", "record_queries", "learn_queries", "stream_queries")
+MODULES = ("text_queries", "link_queries", "record_queries", "learn_queries", "stream_queries",
+           "job_queries")
 
 
 def _load() -> None:

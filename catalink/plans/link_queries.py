@@ -273,8 +273,8 @@ areas AS (SELECT sum(pr) AS auprc, sum(roc) + (1 - max(fpr)) * (1 + max(recall))
 """
 
 
-@query(f"""
-WITH {TRUTH_LINKS}, {CURVE_SQL},
+QUALITY_SQL = f"""
+{CURVE_SQL},
 counts AS (SELECT count(*) AS n, count(*) FILTER (rank = 0) AS r, count(*) FILTER (rank <> 0) AS x,
                   avg(confidence) FILTER (rank = 0) AS cr, avg(confidence) FILTER (rank <> 0) AS cx,
                   avg(confidence) AS c FROM graded),
@@ -289,6 +289,11 @@ m AS (SELECT 'n_links' AS metric, n::DOUBLE AS value FROM counts
   UNION ALL SELECT 'n_items', n FROM per_item UNION ALL SELECT 'n_items_right', h FROM per_item
   UNION ALL SELECT 'share_items_right', h / n FROM per_item
   UNION ALL SELECT 'auprc', auprc FROM areas UNION ALL SELECT 'auroc', auroc FROM areas)
+"""
+
+
+@query(f"""
+WITH {TRUTH_LINKS}, {QUALITY_SQL}
 SELECT metric, round(value, 6) AS value FROM m
 """)
 def link_quality(spark, sf_dir):
