@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalink.functions.ids import fold_sql, seeded_key_sql
-from catalink.operators import factor, features, labels, learn, metrics, sampling
+from catalink.operators import factor, features, labels, learn, link, metrics, sampling
 from catalink.plans import programs, sqltext as sq
 from catalink.plans.link_queries import TALK_ITEMS, TALK_POSTS
 from catalink.plans.record_queries import mislinked
@@ -74,13 +74,18 @@ def random_forest_auprc(spark, sf_dir):
 
 
 def _joint_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """App features alone and next to the averaged metrics of the app's posts."""
-    apps = _binary_apps(spark, sf_dir)
-    n_apps = table(spark, sf_dir, "embeddings").count()
+    """App features alone and next to the averaged metrics of the app's posts.
+
+    A conversation's first turn describes the app of its number; posts are linked to it by text.
+    """
+    described = talk_texts(spark, sf_dir)[1]
+    post_terms, item_terms, model = term_corpus(post_texts(spark, sf_dir), described, min_df=2)
+    links = link.best_items(post_terms, item_terms, model).select(
+        "post_id", F.col("item_id").alias("app_id"))
     rows = features.post_metrics(posts(spark, sf_dir))
     vectors = rows.select(F.col("id").alias("post_id"), labels.numeric_array(rows).alias("vector"))
-    links = vectors.select("post_id", F.pmod("post_id", F.lit(n_apps)).alias("app_id"))
-    return landed(features.linked_features(links, vectors, apps), "joint")
+    return landed(features.linked_features(landed(links, "links"), vectors,
+                                           _binary_apps(spark, sf_dir)), "joint")
 
 
 @query()
