@@ -97,10 +97,14 @@ def signed(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
-    """Links from each set to the least set that shares a prefix with it in some tree."""
+    """Links from each set to the least set that shares a prefix with it in some tree.
+
+    The least sets are written first, so Spark can split the join of a prefix that many share.
+    """
     rows = sets.select("node", F.posexplode("labels").alias("tree", "label"))
-    least = (rows.groupBy("tree", "label")
-             .agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    least = landed(rows.groupBy("tree", "label")
+                   .agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+                   .filter("n > 1"), "prefixes")
     return (rows.join(least, ["tree", "label"]).filter("node != least")
             .select(F.col("node").alias("a"), F.col("least").alias("b")))
 
@@ -171,12 +175,12 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, group_id.
+    """One row per input row: doc_id, class_id, n_links, set_id.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles is
-    `threshold` or more. class_id: largest id of the documents with the same set; n_links: other
-    documents linked with this one, copies included; group_id: largest id among the documents
-    connected by links. Null, empty and wordless texts have no shingles: no links, their own id in
+    `threshold` or more. class_id: largest id among the documents connected by links; n_links:
+    other documents linked with this one, copies included; set_id: largest id of the documents
+    with the same set. Null, empty and wordless texts have no shingles: no links, their own id in
     both columns. Rows that repeat count as copies. Null ids come last. Other columns of `docs`
     are ignored; an empty table gives an empty result.
     """
@@ -186,7 +190,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = landed(signed(rows, depth), "signatures")
     classes = landed(
         known.filter("node is not null").groupBy("node").agg(
-            F.max("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"),
+            F.max("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies"),
             F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")),
         "classes")
     near = components(candidate_links(classes))
@@ -198,18 +202,18 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                      F.col("hub").alias("b")))
     whole = found.filter("not split").select("node", F.col("hub").alias("root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    group = (classes.select("node", "class_id", "copies")
-             .join(whole.unionByName(spread), "node", "left").join(links, "node", "left")
-             .withColumn("root", F.coalesce("root", "node")))
-    largest = group.groupBy("root").agg(F.max("class_id").alias("group_id"))
+    group = landed(classes.select("node", "set_id", "copies")
+                   .join(whole.unionByName(spread), "node", "left").join(links, "node", "left")
+                   .withColumn("root", F.coalesce("root", "node")), "groups")
+    largest = landed(group.groupBy("root").agg(F.max("set_id").alias("class_id")), "largest")
     sets = landed(group.join(largest, "root").select(
-        "node", "class_id", "group_id",
+        "node", "set_id", "class_id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "sets")
     return known.select("doc_id", "node").join(sets, "node", "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"))
 
 
 def _members(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -221,7 +225,7 @@ def _members(rows: DataFrame, near: DataFrame) -> DataFrame:
     bundles = 1 + max((total[0] or 0) // BLOCK_SHINGLES, total[1] // BLOCK_SETS)
     dealt = (near.join(size, "comp")
              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .select(F.col("class_id").alias("doc_id"), "comp", "node", "copies", "blocks", "own"))
+             .select(F.col("set_id").alias("doc_id"), "comp", "node", "copies", "blocks", "own"))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -249,8 +253,8 @@ def _members(rows: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is that of their group, all columns kept."""
-    groups = similarity_join(docs, id_col, text_col)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(
+    """The rows of `docs` whose id is that of their class, all columns kept."""
+    joined = similarity_join(docs, id_col, text_col)
+    stays = joined.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
         F.col("doc_id").alias("__id"))
     return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")

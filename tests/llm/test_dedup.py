@@ -123,7 +123,7 @@ def similarity_truth(rows, threshold=0.8):
         if sets[k] is not None:
             classes[sets[k]].append(i)
             groups[find(k)].append(i)
-    return [(i, last(classes[sets[k]]), links[k], last(groups[find(k)])) if sets[k] is not None
+    return [(i, last(groups[find(k)]), links[k], last(classes[sets[k]])) if sets[k] is not None
             else (i, i, 0, i) for k, (i, _, _) in enumerate(rows)]
 
 
@@ -143,7 +143,7 @@ def test_a_chain_of_near_copies_is_one_group(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     got = jaccard_join.similarity_join(docs).collect()
     assert Counter(map(tuple, got)) == Counter(similarity_truth(rows))
-    assert {r.group_id for r in got} == {29}
+    assert {r.class_id for r in got} == {29}
     assert [r.doc_id for r in jaccard_join.one_of_each_group(docs).collect()] == [29]
 
 

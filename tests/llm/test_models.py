@@ -297,7 +297,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, messy, folder):
         best[t] = (i, t, x) if t not in best or (best[t][0] is None or (
             i is not None and i > best[t][0])) else best[t]
     kept = list(best.values())
-    kept = [row for row, truth in zip(kept, similarity_truth(kept)) if truth[0] == truth[3]]
+    kept = [row for row, truth in zip(kept, similarity_truth(kept)) if truth[0] == truth[1]]
     bad = [x[-1] for x in contamination_truth(kept, benchmark_rows(rows))]
     own = library()
     want = Counter((i, tuple(own.encode_ordinary(t))) for (i, t, _), b in zip(kept, bad) if not b)
@@ -332,3 +332,14 @@ def test_entry_registers_every_operator():
     names = entry.queries()
     assert "pipeline" in names
     assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_query_gives_one_row_per_document(spark, n):
+    from catalink.llm.queries import QUERIES
+    from tests.llm.conftest import SF
+
+    name = next(x for x in QUERIES if x.startswith(f"op{n}_"))
+    got = QUERIES[name](spark, SF)
+    want = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
+    assert got.select("doc_id").exceptAll(want).isEmpty() and got.count() == want.count()
