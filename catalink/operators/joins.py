@@ -26,16 +26,19 @@ def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
                 broadcast_rows: int = BROADCAST_ROWS, rows_per_salt: int = ROWS_PER_SALT,
-                ) -> DataFrame:
+                written: bool = False) -> DataFrame:
     """Join on ``key`` where any key may hold a large share of the rows, on either side.
 
-    A small right side is broadcast after its size was checked. Otherwise the keys of both sides
+    The right side is written, so it is computed once, unless the caller says that it is
+    ``written`` already. A small one is broadcast after its size was checked. Otherwise the keys of both sides
     are counted (combined on the map side) and each hot key is split into a grid of tasks: a left
     row takes one of its left salts and is copied to all right ones, a right row the other way
     round. Works for inner, left, left_semi and left_anti joins; only an inner join may copy
     left rows, semi and anti joins need each right key once, and a left join leaves its right
     rows whole.
     """
+    if not written:
+        right = landed(right, "lookup")
     if within(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
     if how in ("left_semi", "left_anti"):

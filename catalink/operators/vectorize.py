@@ -57,7 +57,7 @@ class TermModel:
     def weights(self, df: DataFrame, terms: str = "terms") -> DataFrame:
         """Long form: the carried columns plus (term, idx, doc_freq, weight)."""
         known = self.vocabulary.select("term", "idx", "doc_freq", "idf")
-        rows = lookup_join(exploded_runs(df, terms), known, "term").withColumn(
+        rows = lookup_join(exploded_runs(df, terms), known, "term", written=True).withColumn(
             "weight", self.weight())
         return rows.drop("tf", "idf")
 
