@@ -25,7 +25,7 @@ from catalink.llm.pretokens import shared
 ROWS_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 1500, 1500, 200
 BUCKET_BITS, WIDTH, EPOCHS, RATE = 18, 12, 4, 0.5
 #: Share of well-labelled calibration texts that may be rejected, and the highest thresholds.
-REJECTED, HIGHEST, HIGHEST_KNOWN = 0.001, 0.5, 0.5
+REJECTED, HIGHEST, HIGHEST_KNOWN = 0.001, 0.35, 0.5
 #: Bytes hashed at a time.
 WINDOW = 1 << 20
 UNKNOWN = "und"

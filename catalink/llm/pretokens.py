@@ -6,10 +6,11 @@ import base64
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _BLANK_PAIR = re.compile(r"\s\s")
@@ -63,8 +64,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
                 start, held = i + 1, 0
 
 
-def shared(spark: SparkSession, value) -> Broadcast:
-    return spark.sparkContext.broadcast(value)
+class Shared:
+    """A broadcast value whose classes travel with it, so executors need no copy of the package."""
+
+    def __init__(self, packed: Broadcast):
+        self._packed = packed
+
+    @cached_property
+    def value(self):
+        return cloudpickle.loads(self._packed.value)
+
+
+def shared(spark: SparkSession, value) -> Shared:
+    return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
