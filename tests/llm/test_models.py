@@ -343,3 +343,20 @@ def test_query_gives_one_row_per_document(spark, n):
     got = QUERIES[name](spark, SF)
     want = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
     assert got.select("doc_id").exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def test_shared_values_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    model = language_id.fit(["the one", "der eine"] * 20, ["en", "de"] * 20)
+    forest = quality.grow(np.zeros((4, len(quality.STATISTICS))), np.array([0.0, 1, 0, 1]))
+    windows = decontaminate.Windows([("1", "a b c")], 2)
+    (tmp_path / "v").write_bytes(cloudpickle.dumps((model, forest, windows)))
+    code = ("import pickle; m, f, w = pickle.load(open('v', 'rb')); "
+            "print(m.predict('the')[0], len(w.items), f.scores(f.value.reshape(1, -1)).shape)")
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                         env={"PATH": "/usr/bin:/bin"}, timeout=60)
+    assert run.stdout.split()[:2] == ["en", "2"], run.stderr
