@@ -76,7 +76,6 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")), "repeats")
     if repeats.isEmpty():
         return left
-    again = left.join(repeats, same, "left_semi")
-    columns = [c for c in docs.columns if c != text_col]
+    again = left.join(repeats, same, "left_semi").withColumn("__digest", digest(F.col(f"`{text_col}`")))
     return left.join(repeats, same, "left_anti").unionByName(
-        again.dropDuplicates([id_col, text_col] if columns else [text_col]))
+        again.dropDuplicates([id_col, "__digest"]).drop("__digest"))

@@ -39,6 +39,7 @@ def messy_rows():
     rows = [(i, t, lang) for i, (t, lang) in enumerate(texts)]
     rows += [(200, None, "en"), (201, "", None), (202, None, None), (None, texts[1][0], "en"),
              (None, "lonely words here", "en"), (203, "   \n\t ", "en"), (204, "12 34 !!", "en"),
+             (207, None, "en"), (207, "", "en"),
              (205, "漢字 и слова 🙂\x00\x01 é x", None), (206, "Ab  aB\r\n\r\n  ab 's 'S", "en")]
     rows += [rows[3], rows[3], (3, "another text of the same id", "en")]
     return rows
