@@ -10,7 +10,7 @@ Prediction reads whole texts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,8 @@ from catalink.llm.pretokens import shared
 #: Bounds of the training sample.
 ROWS_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 1500, 1500, 200
 BUCKET_BITS, WIDTH, EPOCHS, RATE = 18, 12, 4, 0.5
-#: Share of well-labelled calibration texts that may be rejected, and the highest thresholds.
-REJECTED, HIGHEST, HIGHEST_KNOWN = 0.001, 0.35, 0.5
+#: Share of calibration texts of a length that each bound may reject, and the shortest cut of one.
+REJECTED, SHORTEST = 0.001, 8
 #: Bytes hashed at a time.
 WINDOW = 1 << 20
 UNKNOWN = "und"
@@ -54,44 +54,67 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
-    least_known: float = 0.0
+    #: Least probability and least known share of texts of 2^i n-grams and more.
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))
 
-    def scores(self, text: str) -> tuple[np.ndarray, float]:
-        """Log-odds of the languages and the share of known n-grams."""
+    def scores(self, text: str) -> tuple[np.ndarray, float, int]:
+        """Log-odds of the languages, the share of known n-grams and the number of n-grams."""
         total, n = np.zeros(len(self.bias) + 1), 0
         for found in subwords(text):
             total += self.table[found].sum(axis=0, dtype=np.float64)
             n += len(found)
         total /= max(n, 1)
-        return total[:-1] + self.bias, float(total[-1])
+        return total[:-1] + self.bias, float(total[-1]), n
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, False
-        z, known = self.scores(text)
+        z, known, n = self.scores(text)
         z = z / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
+        threshold, least_known = self.bounds[min(n.bit_length(), len(self.bounds)) - 1]
         return (self.languages[best], float(p[best]),
-                bool(p[best] >= self.threshold and known >= self.least_known))
+                bool(p[best] >= threshold and known >= least_known))
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Stochastic gradient descent, one text at a time, then calibration on every fifth text."""
-    languages = sorted(set(labels))
-    if not languages:
-        return Model([], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(0))
-    rng = np.random.default_rng(seed)
-    target = np.array([languages.index(x) for x in labels])
-    order = rng.permutation(len(texts))
-    held, learn = order[::5], np.array([i for k, i in enumerate(order) if k % 5 or len(order) < 10])
+def cuts(text: str) -> list[str]:
+    """A text, and pieces of whole words from it, each at most twice as long as the one before."""
+    out, body, size = [text], text.split(None, 1)[-1] if text.strip() else "", SHORTEST
+    while size < len(body):
+        words = body[:size + 1].rsplit(None, 1)
+        if len(words) > 1 and _LETTER.search(words[0]):
+            out.append(words[0])
+        size *= 2
+    return out
+
+
+def bounds_by_length(sizes: np.ndarray, values: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each doubling of the size, the REJECTED quantiles of the columns of `values`.
+
+    The first column counts where the prediction is right. Lengths that follow each other are
+    taken together until they have enough texts for such a quantile, a rest with those before it.
+    """
+    level = np.array([int(n).bit_length() - 1 for n in sizes])
+    out, low = np.zeros((level.max() + 1, 2)), 0
+    for high in range(1, len(out) + 1):
+        own, rest = (level >= low) & (level < high), (level >= high).sum()
+        if rest and min(own.sum(), rest) < 1 / REJECTED:
+            continue
+        for k, rows in enumerate((own & right, own)):
+            if rows.any():
+                out[low:high, k] = np.quantile(values[rows, k], REJECTED, method="lower")
+        low = high
+    return out
+
+
+def learned(counted: list, target: np.ndarray, learn: np.ndarray, languages: list[str],
+            rng: np.random.Generator) -> Model:
+    """Stochastic gradient descent over the texts `learn`, one at a time; not calibrated."""
     table = np.zeros((1 << BUCKET_BITS, WIDTH), np.float32)
     out = rng.normal(0, 0.5, (WIDTH, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
-    counted = {i: np.unique(np.concatenate(list(subwords(texts[i]))), return_counts=True)
-               for i in learn}
     steps, step = EPOCHS * len(learn), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(learn):
@@ -109,11 +132,28 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             bias -= 0.1 * rate * p
             step += 1
     met = np.zeros((len(table), 1), np.float32)
-    for found, _ in counted.values():
-        met[found] = 1
-    model = Model(languages, np.hstack([table @ out, met]), bias.astype(np.float64))
-    scored = [model.scores(texts[i]) for i in held]
-    z, known, own = np.array([x for x, _ in scored]), [k for _, k in scored], target[held]
+    for i in learn:
+        met[counted[i][0]] = 1
+    return Model(languages, np.hstack([table @ out, met]), bias.astype(np.float64))
+
+
+def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
+    """A model of four fifths of the texts, calibrated on the others.
+
+    If these are too few for the REJECTED quantile, each other fifth is scored in its turn by a
+    model of the rest, so that all texts count for the bounds.
+    """
+    languages = sorted(set(labels))
+    if not languages:
+        return Model([], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(0))
+    rng = np.random.default_rng(seed)
+    target = np.array([languages.index(x) for x in labels])
+    order = rng.permutation(len(texts))
+    counted = [np.unique(np.concatenate(list(subwords(x))), return_counts=True) for x in texts]
+    fifths = [order[k::5] for k in range(5)]
+    rests = [np.array([i for k, i in enumerate(order) if k % 5 != f], np.int64) for f in range(5)]
+    model = learned(counted, target, order if len(order) < 10 else rests[0], languages, rng)
+    z, own = np.array([model.scores(texts[i])[0] for i in fifths[0]]), target[fifths[0]]
 
     def loss(temperature: float) -> float:
         s = z / temperature
@@ -121,13 +161,20 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), own]))
 
     model.temperature = min(np.geomspace(0.05, 20, 61), key=loss)
-    s = z / model.temperature
-    p = np.exp(s - s.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    right = p.argmax(axis=1) == own
-    if right.any():
-        model.threshold = float(min(HIGHEST, np.quantile(p.max(axis=1)[right], REJECTED)))
-        model.least_known = float(min(HIGHEST_KNOWN, np.quantile(known, REJECTED)))
+    pieces = []
+    for f in range(5 if len(fifths[0]) < 1 / REJECTED else 1):
+        if len(rests[f]) and len(fifths[f]):
+            other = model if f == 0 and len(order) >= 10 else learned(
+                counted, target, rests[f], languages, rng)
+            pieces += [(*other.scores(x), target[i]) for i in fifths[f] for x in cuts(texts[i])
+                       if _LETTER.search(x)]
+    if pieces:
+        scores, known, sizes, own = zip(*pieces)
+        s = np.array(scores) / model.temperature
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        model.bounds = bounds_by_length(np.array(sizes), np.stack([p.max(axis=1), known], axis=1),
+                                        p.argmax(axis=1) == own)
     return model
 
 

@@ -180,6 +180,43 @@ def test_languages_of_messy_rows(messy, empty):
     assert {r.lang_pred for r in language_id.identify(unknown).collect()} == {"und"}
 
 
+@pytest.fixture(scope="module")
+def two_languages():
+    rng = random.Random(11)
+    rows = [(prose(rng, lang, rng.randint(5, 60)), lang) for lang in ("en", "fr") * 700]
+    return language_id.fit([t for t, _ in rows], [x for _, x in rows])
+
+
+@pytest.mark.parametrize("text", [
+    "Questa mattina il treno per la montagna era in ritardo e molti aspettavano sul binario.",
+    "Aamulla juna vuorille oli myöhässä ja monet matkustajat odottivat laiturilla.",
+    "Bu sabah dağlara giden tren gecikti ve birçok yolcu peronda bekliyordu.",
+    "Dziś rano pociąg w góry był opóźniony i wielu podróżnych czekało na peronie."])
+def test_unlearned_languages_of_the_same_script_are_rejected(two_languages, text):
+    assert not two_languages.predict(text)[2]
+    assert not two_languages.predict(text * 30)[2]
+
+
+def test_texts_of_mostly_known_ngrams_are_rejected(two_languages):
+    rng = random.Random(12)
+    other = " ".join("".join(rng.choice("the on er re in th ing ou sch zu".split())
+                             for _ in range(3))
+                     for _ in range(80))
+    known = two_languages.scores(other)[1]
+    assert 0.5 < known < 0.95 and not two_languages.predict(other)[2]
+
+
+def test_few_texts_of_learned_languages_are_rejected(two_languages):
+    rng = random.Random(13)
+    texts = [(prose(rng, lang, n), lang) for lang in ("en", "fr") for n in range(2, 152)]
+    got = [two_languages.predict(t) for t, _ in texts]
+    assert np.mean([a for _, _, a in got]) > 0.98
+    # lengths with few texts are calibrated together
+    sizes = np.array([1] * 3 + [5] * 1200 + [70] * 2)
+    values = np.tile(np.linspace(0.5, 1, len(sizes))[:, None], 2)
+    assert (language_id.bounds_by_length(sizes, values, sizes > 0) == values[1]).all()
+
+
 # ---------------------------------------------------------------- language model
 
 def lm_tokens(text):
