@@ -4,13 +4,17 @@ The last token of the encoding of a byte prefix is unique: it is the one token t
 that keeps its border with the last token of what stands before it. A table from prefix to last
 token therefore holds the encodings of all prefixes at once. Words that share a prefix share its
 entries, appending bytes continues from them, and an edit re-encodes only from where it begins.
+A pre-token over LONG bytes keeps its last tokens in an array by position instead, since its
+prefixes as keys would take the square of its length; the next long one continues from it.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +22,10 @@ from pyspark.sql import functions as F
 from catalink.llm.pretokens import (REMEMBERED, id_and_text, lengths_by_end, pieces, read_ranks,
                                     shared, slices, splitter)
 
+#: Longest pre-token, in bytes, whose prefixes or ids are remembered by their text; longest one
+#: whose array is kept for the next.
+LONG, LONG_KEPT = 64, 1 << 20
+
 
 def merge_all(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
     """Plain merging, lowest rank first, of ranks under `below`; used to prepare the tables."""
@@ -52,11 +60,12 @@ def token_tables(ranks: dict[bytes, int]) -> dict:
 
 
 class PrefixEncoder:
-    """Encodes pre-tokens; keeps the last token of every prefix met."""
+    """Encodes pre-tokens; keeps the last token of every prefix met, of long ones the latest only."""
 
     def __init__(self, tables: dict):
         self.__dict__.update(tables)
         self.last: dict[bytes, int] = {}
+        self.long, self.long_last = b"", array("i")
         self.borders: dict[tuple[int, int], bool] = {}
 
     def keeps_border(self, left: int, right: int) -> bool:
@@ -91,6 +100,8 @@ class PrefixEncoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) > LONG:
+            return self.encode_long(piece)
         last, used, ends = self.last, self.used, self.ends
         if len(last) > 2 * REMEMBERED:
             last.clear()
@@ -119,6 +130,30 @@ class PrefixEncoder:
             at -= len(self.tokens[token])
         return out[::-1]
 
+    def encode_long(self, piece: bytes) -> list[int]:
+        """The same by positions: entry i is the last token of the first i bytes."""
+        used, ends, size = self.used, self.ends, len(piece)
+        known = min(size, len(self.long))
+        differ = (np.frombuffer(piece, np.uint8, known)
+                  != np.frombuffer(self.long, np.uint8, known)).nonzero()[0]
+        last = self.long_last[:(int(differ[0]) if len(differ) else known) + 1] or array("i", [-1])
+        for i in range(len(last), size + 1):
+            found = None
+            for n in ends.get(piece[i - 2:i], ()) if i > 1 else ():
+                if n > i:
+                    continue
+                token = used.get(piece[i - n:i])
+                if token is not None and (n == i or self.keeps_border(last[i - n], token)):
+                    found = token
+                    break
+            last.append(used[piece[i - 1:i]] if found is None else found)
+        self.long, self.long_last = (piece, last) if size <= LONG_KEPT else (b"", array("i"))
+        out, at = [], size
+        while at:
+            out.append(last[at])
+            at -= len(self.tokens[last[at]])
+        return out[::-1]
+
     def append(self, piece: bytes, more: bytes) -> list[int]:
         """Encoding of a stored pre-token with bytes appended: only the new prefixes are worked out."""
         return self.encode(piece + more)
@@ -150,13 +185,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         class Known(dict):
             def __missing__(self, word):
                 ids = tuple(encoder.encode(word.encode()))
-                self[word] = ids
+                if len(word) <= LONG:
+                    self[word] = ids
                 return ids
 
         class Pieces(dict):
             def __missing__(self, piece):
                 ids = tuple(chain.from_iterable(map(words.__getitem__, split(piece))))
-                if len(piece) < 64:
+                if len(piece) < LONG:
                     self[piece] = ids
                 return ids
 

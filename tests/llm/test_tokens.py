@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers
@@ -42,6 +43,36 @@ def test_random_strings_appends_and_edits():
     assert encoder.encode(b"") == []
 
 
+def test_long_pretokens_take_memory_by_their_length():
+    tables = bpe.token_tables(pretokens.read_ranks(RANKS))
+    encoder, own, rng = bpe.PrefixEncoder(tables), library(), random.Random(6)
+    parts = ["a", "the", "on", "ing", "er", "é", "漢", "z", "q", "lich"]
+    text = "".join(rng.choice(parts) for _ in range(9_000))
+    tracemalloc.start()
+    got = encoder.encode(text.encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == own.encode_ordinary(text) and peak < 40e6
+    for more in ("er", "q", "漢ing"):
+        text += more
+        assert encoder.append(text[:-len(more)].encode(), more.encode()) == own.encode_ordinary(text)
+    edited = text[:5000] + "zq" + text[5003:]
+    for x in (edited, text[:4000], text[:3999] + "zz", text):
+        assert encoder.encode(x.encode()) == own.encode_ordinary(x)
+
+
+def test_texts_with_pretokens_of_100_kb(spark):
+    rng = random.Random(7)
+    base64 = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFG") for _ in range(100_000))
+    texts = [base64, "x " + "".join(rng.choice("0123456789") for _ in range(100_000)) + " y",
+             "a" + " " * 100_000 + "b", "short words", base64[:99_000] + " ende", "\n" * 100_000]
+    own = library()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.encode_documents(docs, RANKS, PATTERN).collect()}
+    for i, x in enumerate(texts):
+        assert list(got[i].ids) == own.encode_ordinary(x) and bytes(got[i].decoded) == x.encode()
+
+
 def test_pieces_have_the_pretokens_of_the_text():
     split, rng = pretokens.splitter(PATTERN), random.Random(3)
     for _ in range(5000):
