@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalink.llm.components import components
@@ -81,19 +81,22 @@ def node_of(found: np.ndarray) -> bytes | None:
 
 
 def signed(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, node, n_shingles, labels of every document."""
+    """doc_id, digest, node, n_shingles, labels of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([
-                batch.column(0), pa.array([node_of(x) for x in sets], pa.binary()),
+                batch.column(0), batch.column(2),
+                pa.array([node_of(x) for x in sets], pa.binary()),
                 pa.array([len(x) for x in sets], pa.int64()),
                 pa.array([labels(x, depth) if len(x) else [] for x in sets],
-                         pa.list_(pa.int64()))], ["doc_id", "node", "n_shingles", "labels"])
+                         pa.list_(pa.int64()))],
+                ["doc_id", "digest", "node", "n_shingles", "labels"])
 
-    return docs.mapInArrow(sign, f"doc_id {kind}, node binary, n_shingles long, labels array<long>")
+    return docs.select("doc_id", "text", "digest").mapInArrow(
+        sign, f"doc_id {kind}, digest binary, node binary, n_shingles long, labels array<long>")
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
@@ -184,9 +187,17 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both columns. Rows that repeat count as copies. Null ids come last. Other columns of `docs`
     are ignored; an empty table gives an empty result.
     """
+    return _joined(docs, id_col, text_col, threshold, F.lit(None).cast("binary")).select(
+        "doc_id", "class_id", "n_links", "set_id")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float,
+            digest: Column) -> DataFrame:
+    """The rows of the join with digest (as given) and root (name of the class, null if wordless)."""
     depth = prefix_depth(TREES, DEPTH, threshold, RECALL)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                       F.col(f"`{text_col}`").cast("string").alias("text"))
+                       F.col(f"`{text_col}`").cast("string").alias("text"),
+                       digest.alias("digest"))
     known = landed(signed(rows, depth), "signatures")
     classes = landed(
         known.filter("node is not null").groupBy("node").agg(
@@ -207,10 +218,10 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .withColumn("root", F.coalesce("root", "node")), "groups")
     largest = landed(group.groupBy("root").agg(F.max("set_id").alias("class_id")), "largest")
     sets = landed(group.join(largest, "root").select(
-        "node", "set_id", "class_id",
+        "node", "root", "set_id", "class_id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "sets")
-    return known.select("doc_id", "node").join(sets, "node", "left").select(
-        "doc_id",
+    return known.select("doc_id", "digest", "node").join(sets, "node", "left").select(
+        "doc_id", "digest", "root",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"))
@@ -253,8 +264,28 @@ def _members(rows: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is that of their class, all columns kept."""
-    joined = similarity_join(docs, id_col, text_col)
-    stays = joined.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("__id"))
-    return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each class, that of the largest id, and all wordless rows; all columns kept.
+
+    Rows are told apart by id and text, so a class whose ids are all null, or whose largest id
+    belongs to several of its texts, keeps the text of the least digest; rows equal in both are
+    one.
+    """
+    digest = F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")))
+    joined = landed(_joined(docs, id_col, text_col, THRESHOLD, digest)
+                    .filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+                    .select("doc_id", "digest", "root"), "largest")
+    one = (joined.filter("root is not null").groupBy("root")
+           .agg(F.min(F.struct("digest", "doc_id")).alias("least"), F.count(F.lit(1)).alias("n"))
+           .select("least.doc_id", "least.digest", (F.col("n") > 1).alias("several")))
+    wordless = joined.filter("root is null").select("doc_id", "digest").distinct()
+    stays = landed(one.unionByName(wordless.withColumn("several", F.lit(False))).select(
+        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "several"), "stays")
+
+    def rows_of(stays: DataFrame) -> DataFrame:
+        return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+                         & digest.eqNullSafe(F.col("__digest")), "left_semi")
+
+    kept = rows_of(stays.filter("not several"))
+    again = stays.filter("several")
+    return kept if again.isEmpty() else kept.unionByName(
+        rows_of(again).dropDuplicates([id_col, text_col]))

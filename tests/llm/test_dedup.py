@@ -147,6 +147,23 @@ def test_a_chain_of_near_copies_is_one_group(spark, monkeypatch):
     assert [r.doc_id for r in jaccard_join.one_of_each_group(docs).collect()] == [29]
 
 
+def test_one_row_of_each_group_where_ids_are_null_or_repeat(spark):
+    near = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcd"]
+    rows = [(None, near[0]), (7, near[0] + " end"),          # a class with an id: 7 stays
+            (None, near[1]), (None, near[1] + " end"),       # a class of null ids: one stays
+            (9, near[2]), (9, near[3]), (11, near[3] + " end"),  # 9 is largest of one class only
+            (5, "x " * 80 + near[0][::-1]), (5, "x " * 80 + near[0][::-1]),  # equal rows are one
+            (None, "lonely words here"), (None, None), (None, "!!"), (3, ""), (3, "one")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, digest int")
+    got = jaccard_join.one_of_each_group(docs)
+    assert got.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in got.collect())
+    of_nulls = [found.pop((None, t), 0) for t in (near[1], near[1] + " end")]
+    assert sorted(of_nulls) == [0, 1]
+    assert found == Counter([rows[1], rows[4], rows[6], rows[7], *rows[9:]])
+
+
 def test_prefixes_shorten_until_the_recall_is_met():
     depth = jaccard_join.prefix_depth(16, 6, 0.8, 0.999)
     assert 1 - (1 - 0.8 ** depth) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 16
