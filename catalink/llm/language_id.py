@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its byte n-grams, words marked by blanks. The model is
 trained in numpy on a bounded sample of labelled documents: ROWS_PER_LANGUAGE rows of each
-language, a window of SAMPLE_CHARS characters of each. A fifth of the sample calibrates it: a
+language, fewer where there are many languages, a window of SAMPLE_CHARS characters of each. A fifth of the sample calibrates it: a
 temperature for the probabilities, the probability under which a prediction is rejected, and the
 share of n-grams met in training under which a text is of no language that was learned.
 Prediction reads whole texts.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from catalink.llm.folds import fold
 from catalink.llm.pretokens import shared
 
-#: Bounds of the training sample.
-ROWS_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 1500, 1500, 200
+#: Bounds of the training sample; very many languages still have LEAST_ROWS rows each.
+ROWS_PER_LANGUAGE, SAMPLE_CHARS, MOST_ROWS, LEAST_ROWS = 1500, 1500, 300_000, 20
 BUCKET_BITS, WIDTH, EPOCHS, RATE = 18, 12, 4, 0.5
 #: Share of calibration texts of a length that each bound may reject, and the shortest cut of one.
 REJECTED, SHORTEST = 0.001, 8
@@ -48,7 +48,10 @@ def subwords(text: str):
 
 @dataclass
 class Model:
-    """Log-odds of each bucket for each language, and last whether training met the bucket."""
+    """Log-odds of each bucket for each language, and last whether training met the bucket.
+
+    With more languages than WIDTH the table holds the embeddings instead, and `out` their weights.
+    """
 
     languages: list[str]
     table: np.ndarray
@@ -56,15 +59,17 @@ class Model:
     temperature: float = 1.0
     #: Least probability and least known share of texts of 2^i n-grams and more.
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))
+    out: np.ndarray | None = None
 
     def scores(self, text: str) -> tuple[np.ndarray, float, int]:
         """Log-odds of the languages, the share of known n-grams and the number of n-grams."""
-        total, n = np.zeros(len(self.bias) + 1), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for found in subwords(text):
             total += self.table[found].sum(axis=0, dtype=np.float64)
             n += len(found)
         total /= max(n, 1)
-        return total[:-1] + self.bias, float(total[-1]), n
+        z = total[:-1] if self.out is None else total[:-1] @ self.out
+        return z + self.bias, float(total[-1]), n
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.languages or not _LETTER.search(text):
@@ -134,7 +139,10 @@ def learned(counted: list, target: np.ndarray, learn: np.ndarray, languages: lis
     met = np.zeros((len(table), 1), np.float32)
     for i in learn:
         met[counted[i][0]] = 1
-    return Model(languages, np.hstack([table @ out, met]), bias.astype(np.float64))
+    bias = bias.astype(np.float64)
+    if len(languages) > WIDTH:
+        return Model(languages, np.hstack([table, met]), bias, out=out)
+    return Model(languages, np.hstack([table @ out, met]), bias)
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
@@ -186,13 +194,15 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                        & text.isNotNull() & (lang != UNKNOWN)).select(
         F.xxhash64(F.col(f"`{id_col}`"), text).alias("pick"), text.alias("text"),
         lang.cast("string").alias("lang"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    known = rows.groupBy("lang").count()
+    n = max(known.count(), 1)
+    each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, MOST_ROWS // n))
     start = F.pmod("pick", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     return (rows.join(F.broadcast(known), "lang")
-            .filter(F.pmod(F.col("pick"), F.col("count")) < ROWS_PER_LANGUAGE)
+            .filter(F.pmod(F.col("pick"), F.col("count")) < each)
             .select("lang", F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS))
                     .alias("text"))
-            .limit(2 * ROWS_PER_LANGUAGE * MAX_LANGUAGES))
+            .limit(2 * max(MOST_ROWS, n * each)))
 
 
 def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

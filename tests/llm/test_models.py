@@ -180,6 +180,27 @@ def test_languages_of_messy_rows(messy, empty):
     assert {r.lang_pred for r in language_id.identify(unknown).collect()} == {"und"}
 
 
+def test_no_language_is_dropped(spark):
+    rows = [(k * 10 + i, f"q{k}x q{k}y q{k}z " * 3, f"l{k:03}") for k in range(205)
+            for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    sample = language_id.training_sample(docs, "doc_id", "text", "lang", 4, 9).collect()
+    assert Counter(r.lang for r in sample) == Counter(x for _, _, x in rows)
+
+
+def test_factored_table_scores_like_the_whole_one():
+    rng = random.Random(14)
+    texts = [(" ".join(f"{chr(97 + k)}{rng.choice('aeiou')}{chr(98 + k)}" for _ in range(20)),
+              f"l{k:02}") for k in range(20) for _ in range(6)]
+    model = language_id.fit([t for t, _ in texts], [x for _, x in texts])
+    assert model.table.shape[1] == language_id.WIDTH + 1 and len(model.languages) == 20
+    whole = language_id.Model(model.languages, np.hstack(
+        [model.table[:, :-1] @ model.out, model.table[:, -1:]]), model.bias)
+    for t, x in texts:
+        assert np.allclose(model.scores(t)[0], whole.scores(t)[0], atol=1e-4)
+    assert np.mean([model.predict(t)[0] == x for t, x in texts]) > 0.9
+
+
 @pytest.fixture(scope="module")
 def two_languages():
     rng = random.Random(11)
