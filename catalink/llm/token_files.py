@@ -6,12 +6,15 @@ job, count: what a lost or repeated task has written is never read. Reading goes
 index, a bounded run of documents at a time.
 
 The tokenizers library encodes distinct pieces of a slice of documents once each. Pieces end at
-blanks and at those borders of ASCII characters at which the pre-tokeniser always cuts.
+blanks and at those borders at which the pre-tokeniser always cuts; words of ASCII letters, which its
+normaliser leaves as they are, go straight to the library's model.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from catalink.llm.planes import PlaneReader, PlaneWriter
-from catalink.llm.pretokens import REMEMBERED, shared
+from catalink.llm.pretokens import shared
 from catalink.llm.textbytes import (LOWER, SLICE_BYTES, byte_slices, id_and_bytes, joined)
 from catalink.operators.ordered import running_sums
 from catalink.session import landed, scratch_path
@@ -36,11 +39,16 @@ PART_BYTES, FILE_IDS, RUN_IDS = 64 << 20, 1 << 25, 1 << 20
 #: ids of each document.
 IDS, KEYS, NULLS, LENGTHS = range(4)
 WIDTHS = (4, 8, 1, 8)
-#: Longest piece whose ids are remembered, and pieces given to the library together.
-LONG, TOGETHER = 64, 4096
+#: Longest piece whose ids are remembered, pieces remembered, pieces given to the library together.
+LONG, REMEMBERED, TOGETHER = 64, 200_000, 1024
 
-# Classes of bytes: blank, letter, digit, sign, apostrophe, part of a longer character.
-_BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER = range(6)
+# The steps of a tokenizer file for which the cuts below hold.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Classes of bytes: blank, letter, digit, sign, apostrophe, end of a Latin letter of two bytes
+# (U+00C0 to U+00FF but for the signs of multiplication and division), part of another character.
+_BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE, _LATIN, _OTHER = range(7)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[128:] = _OTHER
 _CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
@@ -50,22 +58,47 @@ _CLASS[39] = _QUOTE
 
 # Whether a piece ends between two classes. Letters and digits end before any other ASCII
 # character, and signs before them; an apostrophe stays with what follows, since the two may be a
-# contraction, and a longer character with its neighbours, since the library may compose them.
-_CUT = np.zeros((6, 6), bool)
+# contraction, and what stands before a longer character with it, since the library may compose them.
+_CUT = np.zeros((7, 7), bool)
 _CUT[_BLANK, 1:] = _CUT[1:, _BLANK] = True
-_CUT[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = True
+_CUT[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = _CUT[_LATIN, [_DIGIT, _SIGN, _QUOTE]] = True
 _CUT[_DIGIT, [_LETTER, _DIGIT, _SIGN, _QUOTE]] = True
 _CUT[_SIGN, [_LETTER, _DIGIT]] = True
 _CUT[_QUOTE, _DIGIT] = True
 
 
+def _classes(data: np.ndarray) -> np.ndarray:
+    kind = _CLASS[data]
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)) + 1
+    kind[latin] = _LATIN
+    return kind
+
+
 class PieceEncoder:
     """Ids of whole texts by the library, which sees every distinct piece once."""
 
     def __init__(self, model: str):
+        steps = json.loads(model)
+        normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        split = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        if normal != _NORMAL or split.get("pattern", {}).get("Regex") != _PATTERN:
+            raise ValueError("the cuts between pieces do not fit this tokenizer file")
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    def _encoded(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Pieces and their ids as bytes of unsigned 32-bit numbers."""
+        model, plain, rest = self.library.model, [], []
+        for p in pieces:
+            (plain if p.isalpha() and p.isascii() else rest).append(p)
+        for p in plain:
+            yield p, array("I", [t.id for t in model.tokenize(p.decode())]).tobytes()
+        for i in range(0, len(rest), TOGETHER):
+            some = rest[i:i + TOGETHER]
+            found = self.library.encode_batch_fast(
+                [p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+            yield from ((p, array("I", e.ids).tobytes()) for p, e in zip(some, found))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and their number in each text."""
@@ -75,7 +108,7 @@ class PieceEncoder:
         parts, lengths, at = [], np.zeros(len(texts), np.int64), 0
         while at < len(data):
             end = self._end(data, at)
-            kind = _CLASS[data[at:end]]
+            kind = _classes(data[at:end])
             new = first[at:end].copy()
             new[0] = True
             new[1:] |= _CUT[kind[:-1], kind[1:]]
@@ -106,17 +139,11 @@ class PieceEncoder:
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = [p for p in distinct if p not in self.known]
-        own: dict[bytes, list[int]] = {}
-        for i in range(0, len(fresh), TOGETHER):
-            some = fresh[i:i + TOGETHER]
-            found = self.library.encode_batch_fast(
-                [p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            own.update((p, e.ids) for p, e in zip(some, found))
+        own = dict(self._encoded([p for p in distinct if p not in self.known]))
         ids = [own[p] if p in own else self.known[p] for p in distinct]
         self.known.update((p, x) for p, x in own.items() if len(p) <= LONG)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         begins = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy()
         counts = sizes[which]
