@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalink.functions.ids import fold_sql, seeded_key_sql
-from catalink.operators import factor, features, labels, learn, link, metrics, sampling
+from catalink.operators import (
+    factor, features, labels, learn, link, metrics, sampling, subspace,
+)
 from catalink.plans import programs, sqltext as sq
 from catalink.plans.link_queries import TALK_ITEMS, TALK_POSTS
 from catalink.plans.record_queries import mislinked
@@ -257,6 +259,44 @@ def svd_projection(spark, sf_dir):
     return factor.fit_term_space(rows, width, 8).project(rows, "key", width)
 
 
+def _component_sql(k: int, centred: bool) -> str:
+    return "WITH RECURSIVE " + sq.components(TALK_POSTS, TALK_ITEMS, k, centred)
+
+
+def _directions(spark: SparkSession, sf_dir: str, k: int, centred: bool) -> subspace.Directions:
+    weights, width = _talk_weights(spark, sf_dir)
+    return subspace.leading_directions(weights, "key", width, k, centred)
+
+
+def _coordinates(directions: subspace.Directions, k: int) -> DataFrame:
+    """Coordinates without their signs, which no decomposition fixes."""
+    return directions.projected().select("key", *[
+        F.round(F.abs(F.col("vector")[c]), 3).alias(f"c{c + 1}") for c in range(k)])
+
+
+@query(_component_sql(2, True) + "SELECT key, round(abs(c1), 3) AS c1, round(abs(c2), 3) AS c2 FROM parts")
+def pca_term_projection(spark, sf_dir):
+    """Texts projected on the principal components of the term matrix, terms as observations."""
+    return _coordinates(_directions(spark, sf_dir, 2, True), 2)
+
+
+@query(_component_sql(2, False) + "SELECT key, round(abs(c1), 3) AS c1, round(abs(c2), 3) AS c2 FROM parts")
+def svd_term_projection(spark, sf_dir):
+    """Texts projected on term directions times singular values, held in ranges."""
+    return _coordinates(_directions(spark, sf_dir, 2, False), 2)
+
+
+@query(_component_sql(2, True) + """
+SELECT 1 AS component, round(l1 / (n - 1), 6) AS variance FROM lam UNION ALL
+SELECT 2, round(l2 / (n - 1), 6) FROM lam
+""")
+def pca_variances(spark, sf_dir):
+    """Variances along the leading principal components of the term matrix."""
+    found = _directions(spark, sf_dir, 2, True).variances.tolist()
+    return spark.createDataFrame([(i + 1, round(v, 6)) for i, v in enumerate(found)],
+                                 "component int, variance double")
+
+
 @query("""
 SELECT vec_id, 64 AS width, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 5) AS length FROM embeddings
 """)

@@ -127,3 +127,39 @@ links AS (SELECT post_id, item_id, s FROM (
   SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY s DESC, item_id) AS rn FROM sims)
   WHERE rn = 1 AND s > {threshold})
 """
+
+
+def components(posts: str, items: str, k: int, centred: bool, rounds: int = 400) -> str:
+    """CTEs up to ``parts(id, c1, .., ck)`` and ``lam(l1, .., lk)``: the rows of the texts' TF-IDF
+    matrix in the space of its leading directions, by power iteration with deflation."""
+    steps = []
+    for c in range(1, k + 1):
+        gone = "".join(f" - l{p} * v{p}[i] * list_dot_product(v{p}, v)" for p in range(1, c))
+        before = f"f{c - 1}" if c > 1 else "whole"
+        held = ", ".join(["m", "q"] + [f"v{p}, l{p}" for p in range(1, c)])
+        steps.append(f"""
+p{c}(step, v, {held}) AS (
+  SELECT 0, list_transform(range(1, len(m) + 1), LAMBDA i: CAST(1 + i % 7 AS DOUBLE)), {held} FROM {before}
+  UNION ALL
+  SELECT step + 1, list_transform(w, LAMBDA x: x / sqrt(list_dot_product(w, w))), {held}
+  FROM (SELECT *, list_transform(range(1, len(m) + 1),
+               LAMBDA i: list_dot_product(m[i], v){gone}) AS w FROM p{c}) WHERE step < {rounds}),
+f{c} AS (SELECT {held}, v AS v{c},
+                list_dot_product(v, list_transform(m, LAMBDA row: list_dot_product(row, v))) AS l{c}
+         FROM p{c} WHERE step = {rounds})""")
+    coordinates = ", ".join(f"list_dot_product(q[i], v{c}) AS c{c}" for c in range(1, k + 1))
+    return f"""{weights(posts, items)},
+width AS (SELECT count(*) AS n FROM stats),
+named AS (SELECT *, row_number() OVER (ORDER BY side, id) AS i,
+                 (SELECT n FROM width) AS n FROM (SELECT side, id, sum(w) AS s FROM raw GROUP BY side, id)),
+dots AS (SELECT a.i, b.i AS j, coalesce(d.d, 0) AS d, a.s * b.s / a.n AS mm
+         FROM named a CROSS JOIN named b LEFT JOIN (
+           SELECT x.side AS xs, x.id AS xi, y.side AS ys, y.id AS yi, sum(x.w * y.w) AS d
+           FROM raw x JOIN raw y USING (term) GROUP BY ALL) d
+         ON d.xs = a.side AND d.xi = a.id AND d.ys = b.side AND d.yi = b.id),
+rows_of AS (SELECT i, list(d{' - mm' if centred else ''} ORDER BY j) AS m, list(d ORDER BY j) AS q FROM dots GROUP BY i),
+whole AS (SELECT list(m ORDER BY i) AS m, list(q ORDER BY i) AS q FROM rows_of),
+{','.join(steps)},
+parts AS (SELECT side || id AS key, {coordinates} FROM named, f{k}),
+lam AS (SELECT {', '.join(f'l{c}' for c in range(1, k + 1))}, (SELECT n FROM width) AS n FROM f{k})
+"""
