@@ -223,3 +223,53 @@ def test_task_functions_need_no_package_on_executors(tmp_path):
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
                          env={"PATH": "/usr/bin:/bin"}, timeout=60)
     assert run.stdout.split() == ["4", "2"], run.stderr
+
+
+def _clustered(rng, n, centres):
+    own = centres[rng.integers(0, len(centres), n)]
+    return own + 0.02 * rng.normal(size=own.shape)
+
+
+def test_pruned_blocks_give_the_links_of_all_blocks(spark, monkeypatch):
+    from catalink.operators import dense
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(24, 6))
+    p, i = _clustered(rng, 150, centres), _clustered(rng, 900, centres)
+    i[100:110], p[3], i[5] = i[99], 0.0, 0.0  # ties and vectors without length
+    posts = spark.createDataFrame([(k, 2 * k, v.tolist()) for k, v in enumerate(p)],
+                                  "post_id long, true_item_id long, vector array<double>")
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(i)],
+                                  "item_id long, vector array<double>")
+    length = lambda m: np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = np.round((p / length(p)) @ (i / length(i)).T, 9)
+    counted, plain = [], dense._pairs
+
+    def pairs(left, summaries, width, nearest):
+        out = plain(left, summaries, width, nearest)
+        if not nearest:
+            counted.append((out.count(), left.count() * len(summaries[0][0])))
+        return out
+
+    monkeypatch.setattr(dense, "_pairs", pairs)
+    got = {r["post_id"]: (r["item_id"], round(r["similarity"], 9))
+           for r in factor.best_dense(posts, items, block_bytes=1500).collect()}
+    assert got == {k: (int(r.argmax()), round(r.max(), 9)) for k, r in enumerate(scores) if r.max() > 0}
+    ranks = {r["post_id"]: r["rank"] for r in factor.dense_ranks(posts, items, block_bytes=1500).collect()}
+    assert ranks == {k: int((r > r[2 * k] + 1.5e-9).sum()) for k, r in enumerate(scores)}
+    (links, all_links), _ = counted
+    assert links < all_links / 3
+
+
+def test_dense_groups_are_matched_within_themselves(spark):
+    rng = np.random.default_rng(10)
+    rows = [(g, k, rng.normal(size=3 + g).tolist()) for g in range(3) for k in range(20)]
+    posts = spark.createDataFrame([(g, k, k, v) for g, k, v in rows[::2]],
+                                  "g int, post_id long, true_item_id long, vector array<double>")
+    items = spark.createDataFrame(rows, "g int, item_id long, vector array<double>")
+    got = factor.best_dense(posts, items, by="g").collect()
+    assert len(got) == 30 and all(r["post_id"] == r["item_id"] for r in got)
+    got = factor.dense_ranks(posts, items, by="g", block_bytes=200).collect()
+    assert len(got) == 30 and {r["rank"] for r in got} == {0}
+    assert factor.best_dense(posts.limit(0), items, by="g").collect() == []
+    assert factor.best_dense(posts, items.limit(0)).collect() == []
