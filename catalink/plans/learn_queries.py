@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalink.functions.ids import fold_sql, seeded_key_sql
 from catalink.operators import (
-    factor, features, labels, learn, link, metrics, sampling, subspace,
+    factor, features, labels, lattice, learn, link, metrics, sampling, subspace,
 )
 from catalink.plans import programs, sqltext as sq
 from catalink.plans.link_queries import TALK_ITEMS, TALK_POSTS
@@ -190,6 +190,54 @@ def parameter_grid(spark, sf_dir):
     return programs.grid(*talk_texts(spark, sf_dir), options)
 
 
+MIN_DFS, FORMS = (1, 2, 3, 5, 7), ("count", "binary", "tfidf")
+LEVELS_SQL = ", ".join(f"avg(CASE WHEN rank <= {x} * total THEN 1.0 ELSE 0.0 END) AS recall_{round(100 * x):02d}"
+                       for x in lattice.LEVELS)
+
+
+def _ranking_sql(n: int) -> str:
+    """Quality of the ranking for all minimum frequencies and forms of n-grams, by brute force."""
+    settings = ", ".join(f"({m}, '{f}')" for m in MIN_DFS for f in FORMS)
+    return f"""
+SELECT {n} AS n, m AS min_df, false AS stem, f AS form, count(*) AS n_posts,
+       count(*) FILTER (rank = 0) AS n_exact, avg(CASE WHEN rank = 0 THEN 1.0 ELSE 0.0 END) AS accuracy,
+       {LEVELS_SQL}, round(coalesce(avg(top) FILTER (rank = 0), 0), 6) AS mean_right,
+       round(coalesce(avg(top) FILTER (rank > 0), 0), 6) AS mean_wrong
+FROM (WITH {sq.weights(TALK_POSTS, TALK_ITEMS, 1, n).split("raw AS (")[0]}
+      settings(m, f) AS (VALUES {settings}),
+      raw AS (SELECT m, f, side, id, term, CASE f WHEN 'count' THEN tf WHEN 'binary' THEN 1.0
+                     ELSE tf * ln((n + 1.0) / (df + 1.0)) END AS w
+              FROM tf JOIN stats USING (term), docs, settings WHERE df >= m),
+      norm AS (SELECT m, f, side, id, sqrt(sum(w * w)) AS len FROM raw GROUP BY m, f, side, id),
+      w AS (SELECT m, f, side, id, term, w / len AS w FROM raw JOIN norm USING (m, f, side, id) WHERE len > 0),
+      sims AS (SELECT * FROM (SELECT p.m, p.f, p.id AS post_id, i.id AS item_id, round(sum(p.w * i.w), 9) AS s
+               FROM w p JOIN w i ON p.term = i.term AND p.m = i.m AND p.f = i.f
+               WHERE p.side = 'p' AND i.side = 'i' GROUP BY ALL) WHERE s > 0),
+      own AS (SELECT m, f, post_id, max(s) AS top, coalesce(max(s) FILTER (item_id = post_id // 1000), 0) AS own
+              FROM sims GROUP BY m, f, post_id),
+      known AS (SELECT o.* FROM own o JOIN (SELECT DISTINCT m, f, id FROM w WHERE side = 'i') k
+                ON k.m = o.m AND k.f = o.f AND k.id = o.post_id // 1000),
+      ranks AS (SELECT k.m, k.f, k.post_id, any_value(k.top) AS top, count(x.s) AS rank FROM known k
+                LEFT JOIN sims x ON x.m = k.m AND x.f = k.f AND x.post_id = k.post_id AND x.s > k.own
+                GROUP BY k.m, k.f, k.post_id)
+      SELECT *, count(*) OVER (PARTITION BY m, f) AS total FROM ranks)
+GROUP BY m, f"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_ranking_sql(n)})" for n in (1, 2, 3)))
+def ranking_grid(spark, sf_dir):
+    """Exact matches and recall for n, minimum frequency and form, without a reducer."""
+    found = programs.ranking_grid(*talk_texts(spark, sf_dir), (1, 2, 3), MIN_DFS, FORMS)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_right", "mean_wrong")})
+
+
+@query()
+def reducer_grid(spark, sf_dir):
+    """The same measures in reduced spaces: reducer, number of components, alpha."""
+    return programs.reducer_grid(*talk_texts(spark, sf_dir), programs.TextOptions(n=1, min_df=2),
+                                 (4, 16), (50.0, 200.0))
+
+
 # ---------------------------------------------------------------- factorisation
 
 def _talk_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
