@@ -17,16 +17,21 @@ ROWS_PER_SALT = 1_000_000
 
 
 def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes as text."""
-    n, measured = df.limit(rows + 1).agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    ).first()
-    return n <= rows and measured <= size
+    """Whether ``df``, a written table, has at most ``rows`` rows and ``size`` bytes as text.
+
+    Rows are counted first, from the files' own counts; only a table within that bound is measured,
+    by sums over its parts.
+    """
+    if df.count() > rows:
+        return False
+    text = F.octet_length(F.to_json(F.struct("*")))
+    return df.agg(F.coalesce(F.sum(text), F.lit(0))).first()[0] <= size
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
                 broadcast_rows: int = BROADCAST_ROWS, rows_per_salt: int = ROWS_PER_SALT,
-                written: bool = False) -> DataFrame:
+                written: bool = False, unique: bool = False,
+                most_left: int | None = None) -> DataFrame:
     """Join on ``key`` where any key may hold a large share of the rows, on either side.
 
     The right side is written, so it is computed once, unless the caller says that it is
@@ -35,12 +40,15 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     row takes one of its left salts and is copied to all right ones, a right row the other way
     round. Works for inner, left, left_semi and left_anti joins; only an inner join may copy
     left rows, semi and anti joins need each right key once, and a left join leaves its right
-    rows whole.
+    rows whole. Sides are not counted where the caller knows that right keys are ``unique`` and that
+    no left key has more than ``most_left`` rows, too few to be split.
     """
     if not written:
         right = landed(right, "lookup")
     if within(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
+    if unique and most_left is not None and most_left <= rows_per_salt:
+        return left.join(right, key, how)
     if how in ("left_semi", "left_anti"):
         right = right.select(key).distinct()
     left_salts = _salts(left, key, "left_salts", rows_per_salt)

@@ -2,7 +2,8 @@
 
 Each post keeps the single item most similar to it. Scoring every (post, item) pair as
 rows would shuffle one row per pair that shares any term, so the item side becomes an
-inverted index instead: when its measured size is within ``INDEX_ENTRIES`` it is shipped
+inverted index instead: when its measured size is within ``INDEX_ENTRIES`` it is shipped,
+whatever the size of the vocabulary,
 to the tasks and each Arrow batch of posts is scored where it lies, with no shuffle and
 no pair rows. A larger item side is joined on terms by Spark: an item's frequent terms that
 cannot decide a link above the threshold are left out of the join, hot terms are salted and
@@ -29,7 +30,7 @@ from catalink.session import landed
 
 # Entries of the shipped index: 12 bytes each, so at most about 100 MB per Python worker.
 INDEX_ENTRIES = 8_000_000
-# Terms of a vocabulary that is shipped with the index.
+# Terms of a vocabulary that is shipped with the index; of a larger one only the items' terms are.
 INDEX_TERMS = 1_000_000
 # Cells of one score block inside a task (8 bytes each).
 BLOCK_CELLS = 4_000_000
@@ -43,7 +44,7 @@ ROWS_PER_SALT = 1_000_000
 
 
 # An inverted index over unit-length item vectors, items in id order: ``items``, ``terms``
-# (term -> idx), ``idf`` by idx, and the postings ``columns`` and ``values`` of idx i from
+# (term -> idx), ``idf`` by idx, ``partial`` if terms are missing, and the postings ``columns`` and ``values`` of idx i from
 # ``starts[i]`` to ``starts[i + 1]``. A plain namespace, because broadcasts travel by reference.
 ItemIndex = SimpleNamespace
 
@@ -60,7 +61,8 @@ def item_weights(items: DataFrame, key: str, model: TermModel, min_active: int =
     )
 
 
-def _build_index(entries: pa.Table, model: TermModel, key: str, min_active: int) -> ItemIndex:
+def _build_index(entries: pa.Table, terms: list, idf: np.ndarray, form: str, key: str,
+                 min_active: int, partial: bool) -> ItemIndex:
     """Normalise the fetched item weights and sort them by term."""
     items, column = np.unique(entries[key].to_numpy(zero_copy_only=False), return_inverse=True)
     idx, weight = entries["idx"].to_numpy(), entries["weight"].to_numpy()
@@ -71,15 +73,11 @@ def _build_index(entries: pa.Table, model: TermModel, key: str, min_active: int)
     column, idx, weight = column[keep], idx[keep], weight[keep] / norms[column[keep]]
     column = (np.cumsum(usable) - 1)[column].astype(np.int32)
     order = np.lexsort((column, idx))
-    starts = np.zeros(model.size + 1, dtype=np.int64)
-    np.cumsum(np.bincount(idx, minlength=model.size), out=starts[1:])
-    ids = model.entries["idx"].to_numpy()
-    idf = np.empty(model.size)
-    idf[ids] = model.entries["idf"].to_numpy()
+    starts = np.zeros(len(terms) + 1, dtype=np.int64)
+    np.cumsum(np.bincount(idx, minlength=len(terms)), out=starts[1:])
     return ItemIndex(
-        items=items[usable], terms=dict(zip(model.entries["term"].to_pylist(), ids.tolist())),
-        idf=idf, starts=starts, columns=column[order], values=weight[order], form=model.form,
-    )
+        items=items[usable], terms=dict(zip(terms, range(len(terms)))), idf=idf, starts=starts,
+        columns=column[order], values=weight[order], form=form, partial=partial)
 
 
 def _batch_weights(batch: pa.RecordBatch, index: ItemIndex):
@@ -107,10 +105,19 @@ def _batch_weights(batch: pa.RecordBatch, index: ItemIndex):
     return rows, terms, weight
 
 
-def _score_blocks(n_rows: int, rows, terms, weight, index: ItemIndex):
-    """Yield (first row, score matrix) blocks; a block is bounded by BLOCK_CELLS."""
+def _lengths(batch: pa.RecordBatch, index: ItemIndex, rows, weight):
+    """Length and number of known terms of each post, carried along where the index lacks terms."""
+    if index.partial:
+        return (batch.column("norm").fill_null(0.0).to_numpy(zero_copy_only=False),
+                batch.column("active").fill_null(0).to_numpy(zero_copy_only=False))
     # bincount over nothing yields ints whatever the weights are
-    norms = np.sqrt(np.bincount(rows, weights=weight * weight, minlength=n_rows).astype(float))
+    n = batch.num_rows
+    return (np.sqrt(np.bincount(rows, weights=weight * weight, minlength=n).astype(float)),
+            np.bincount(rows, minlength=n))
+
+
+def _score_blocks(n_rows: int, rows, terms, weight, norms, index: ItemIndex):
+    """Yield (first row, score matrix) blocks; a block is bounded by BLOCK_CELLS."""
     n_items = len(index.items)
     span = index.starts[terms + 1] - index.starts[terms]
     work = np.bincount(rows, weights=span, minlength=n_rows) + n_items
@@ -134,22 +141,47 @@ def _score_blocks(n_rows: int, rows, terms, weight, index: ItemIndex):
         yield first, np.round(scores, DECIMALS)
 
 
-def _post_batches(posts: DataFrame, key: str, carried: tuple[str, ...] = ()) -> DataFrame:
-    return posts.select(key, *carried, term_runs(F.col("terms")).alias("runs"))
+def _post_batches(posts: DataFrame, key: str, model: TermModel, partial: bool,
+                  carried: tuple[str, ...] = ()) -> DataFrame:
+    """Posts with the counts of their terms, and their lengths where the index has no other terms."""
+    rows = posts.select(key, *carried, term_runs(F.col("terms")).alias("runs"))
+    if not partial:
+        return rows
+    lengths = model.term_weights(posts.select(key, "terms")).groupBy(key).agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+        F.count(F.lit(1)).alias("active"))
+    return rows.join(landed(lengths, "lengths"), key, "left")
 
 
 def _shipped_index(items: DataFrame, key: str, model: TermModel, min_active: int,
-                   max_entries: int) -> Broadcast | None:
-    """The item side as a shipped index when it is small enough, else None."""
-    if max_entries <= 0 or model.size > INDEX_TERMS:
+                   max_entries: int) -> tuple[Broadcast, bool] | None:
+    """The item side as a shipped index when it is small enough, else None.
+
+    A vocabulary beyond INDEX_TERMS stays where it is: the index then holds the items' terms only,
+    and posts bring their lengths along.
+    """
+    if max_entries <= 0:
         return None
+    partial = model.size > INDEX_TERMS
+    rows = items.select(key, "terms")
+    weights = (model.term_weights(rows).select(key, "term", "idf", "weight") if partial
+               else model.weights(rows).select(key, "idx", "weight"))
     # One row more than the bound tells whether the bound holds, whatever the true size.
-    weights = model.weights(items.select(key, "terms")).select(key, "idx", "weight")
     entries = weights.limit(max_entries + 1).toArrow()
     if entries.num_rows > max_entries:
         return None
-    index = _build_index(entries, model, key, min_active)
-    return items.sparkSession.sparkContext.broadcast(index)
+    if partial:
+        coded = entries["term"].combine_chunks().dictionary_encode()
+        idx, terms = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        idf = np.empty(len(terms))
+        idf[idx] = entries["idf"].to_numpy()
+        entries = entries.append_column("idx", pa.array(idx))
+    else:
+        order = np.argsort(model.entries["idx"].to_numpy())
+        terms = model.entries["term"].take(pa.array(order)).to_pylist()
+        idf = model.entries["idf"].to_numpy()[order]
+    index = _build_index(entries, terms, idf, model.form, key, min_active, partial)
+    return items.sparkSession.sparkContext.broadcast(index), partial
 
 
 def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key: str = "post_id",
@@ -166,6 +198,7 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
         pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active, threshold)
         best = most_similar(item_key)
         return pairs.groupBy(post_key).agg(best.alias("best")).select(post_key, "best.*")
+    shipped, partial = shipped
     schema = T.StructType([
         posts.schema[post_key], items.schema[item_key],
         T.StructField("similarity", T.DoubleType()),
@@ -176,9 +209,10 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
         index = shipped.value
         for batch in batches:
             rows, terms, weight = _batch_weights(batch, index)
-            active = np.bincount(rows, minlength=batch.num_rows)
+            norms, active = _lengths(batch, index, rows, weight)
             at, item, value = [], [], []
-            for first, scores in _blocks_if_any(batch.num_rows, rows, terms, weight, index):
+            for first, scores in _blocks_if_any(
+                    batch.num_rows, rows, terms, weight, norms, index):
                 best = scores.argmax(axis=1)  # the first maximum is the smallest item id
                 top = scores[np.arange(len(scores)), best]
                 hit = np.flatnonzero((top > threshold) & (top > 0)
@@ -195,11 +229,11 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
                     names=[post_key, item_key, "similarity"],
                 )
 
-    return _post_batches(posts, post_key).mapInArrow(score, schema)
+    return _post_batches(posts, post_key, model, partial).mapInArrow(score, schema)
 
 
-def _blocks_if_any(n_rows, rows, terms, weight, index):
-    return _score_blocks(n_rows, rows, terms, weight, index) if len(index.items) else ()
+def _blocks_if_any(n_rows, rows, terms, weight, norms, index):
+    return _score_blocks(n_rows, rows, terms, weight, norms, index) if len(index.items) else ()
 
 
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -230,6 +264,7 @@ def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
         return pairs.groupBy(post_key).agg(
             F.sort_array(F.collect_list(F.struct(item_key, "similarity"))).alias("matches")
         )
+    shipped, partial = shipped
     schema = T.StructType([posts.schema[post_key], T.StructField("matches", T.ArrayType(entry))])
     item_type = _arrow_type(items, item_key)
 
@@ -237,8 +272,9 @@ def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
         index = shipped.value
         for batch in batches:
             rows, terms, weight = _batch_weights(batch, index)
-            active = np.bincount(rows, minlength=batch.num_rows)
-            for first, scores in _blocks_if_any(batch.num_rows, rows, terms, weight, index):
+            norms, active = _lengths(batch, index, rows, weight)
+            for first, scores in _blocks_if_any(
+                    batch.num_rows, rows, terms, weight, norms, index):
                 scores[active[first:first + len(scores)] < min_active] = 0.0
                 row, column = np.nonzero((scores > threshold) & (scores > 0))
                 counts = np.bincount(row, minlength=len(scores))
@@ -254,7 +290,7 @@ def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
                     names=[post_key, "matches"],
                 )
 
-    return _post_batches(posts, post_key).mapInArrow(score, schema)
+    return _post_batches(posts, post_key, model, partial).mapInArrow(score, schema)
 
 
 def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
@@ -284,6 +320,7 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
         return above.select(
             post_key, true_key, f"best.{item_key}", F.col("rank").cast("int").alias("rank"),
             F.col("best.similarity").alias("confidence"))
+    shipped, partial = shipped
     schema = T.StructType([
         posts.schema[post_key], posts.schema[true_key], items.schema[item_key],
         T.StructField("rank", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
@@ -294,8 +331,10 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
         index = shipped.value
         for batch in batches:
             rows, terms, weight = _batch_weights(batch, index)
+            norms, _ = _lengths(batch, index, rows, weight)
             truth = batch.column(true_key).to_numpy(zero_copy_only=False)
-            for first, scores in _blocks_if_any(batch.num_rows, rows, terms, weight, index):
+            for first, scores in _blocks_if_any(
+                    batch.num_rows, rows, terms, weight, norms, index):
                 wanted = truth[first:first + len(scores)]
                 column = np.minimum(np.searchsorted(index.items, wanted), len(index.items) - 1)
                 best = scores.argmax(axis=1)
@@ -311,7 +350,7 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
                     names=columns,
                 )
 
-    return _post_batches(posts, post_key, (true_key,)).mapInArrow(score, schema)
+    return _post_batches(posts, post_key, model, partial, (true_key,)).mapInArrow(score, schema)
 
 
 def _joined_pairs(posts: DataFrame, item_rows: DataFrame, model: TermModel, post_key: str,

@@ -39,13 +39,18 @@ def exploded_runs(df: DataFrame, terms: str = "terms") -> DataFrame:
 
 @dataclass(frozen=True)
 class TermModel:
-    """A fitted vocabulary: ``vocabulary`` holds (term, idx, doc_freq, corpus_count, idf)."""
+    """A fitted vocabulary: ``terms`` holds (term, doc_freq, corpus_count, idf) of every term."""
 
-    vocabulary: DataFrame
+    terms: DataFrame
     size: int
     n_docs: int
     form: str
 
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """The terms with their numbers ``idx``, which are worked out when first asked for."""
+        return landed(ranked_terms(self.terms), "vocabulary")
+
     @cached_property
     def entries(self) -> pa.Table:
         """The vocabulary as fetched, for operators that checked ``size`` before they ship it."""
@@ -57,9 +62,21 @@ class TermModel:
     def weights(self, df: DataFrame, terms: str = "terms") -> DataFrame:
         """Long form: the carried columns plus (term, idx, doc_freq, weight)."""
         known = self.vocabulary.select("term", "idx", "doc_freq", "idf")
-        rows = lookup_join(exploded_runs(df, terms), known, "term", written=True).withColumn(
-            "weight", self.weight())
-        return rows.drop("tf", "idf")
+        return self._known(df, terms, known).drop("tf", "idf")
+
+    def term_weights(self, df: DataFrame, terms: str = "terms") -> DataFrame:
+        """The same with the terms themselves only: the carried columns plus (term, idf, weight)."""
+        return self._known(df, terms, self.terms.select("term", "idf")).drop("tf")
+
+    def _known(self, df: DataFrame, terms: str, known: DataFrame) -> DataFrame:
+        # a term stands in one row for each text that has it
+        return lookup_join(exploded_runs(df, terms), known, "term", written=True, unique=True,
+                           most_left=df.count()).withColumn("weight", self.weight())
+
+
+def count_weights(df: DataFrame, terms: str = "terms") -> DataFrame:
+    """Long counts (term, weight) of all terms, which need no vocabulary: each row tells its own."""
+    return exploded_runs(df, terms).withColumn("weight", weight_of("count")).drop("tf")
 
 
 def weight_of(form: str, threshold: float = 0.99) -> Column:
@@ -86,11 +103,15 @@ def term_statistics(df: DataFrame, terms: str = "terms") -> DataFrame:
 
 def ranked_terms(stats: DataFrame, vocab_size: int | None = None) -> DataFrame:
     """Terms numbered by falling corpus count, ties by term, as ``idx``; all or the first few."""
-    order = [F.desc("corpus_count"), F.asc("term")]
+    order = _by_count()
     kept = stats if vocab_size is None else stats.orderBy(*order).limit(vocab_size)
     return ranked(kept, order, "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
+def _by_count() -> list[Column]:
+    return [F.desc("corpus_count"), F.asc("term")]
+
+
 def fit_terms(df: DataFrame, terms: str = "terms", form: str = "tfidf", min_df: int = 1,
               vocab_size: int | None = None, n_docs: int | None = None) -> TermModel:
     """Fit a vocabulary over every row of ``df``: all terms with ``doc_freq >= min_df``.
@@ -100,10 +121,12 @@ def fit_terms(df: DataFrame, terms: str = "terms", form: str = "tfidf", min_df:
     if form not in FORMS:
         raise ValueError(f"unknown weight form: {form}")
     n_docs = df.count() if n_docs is None else n_docs
-    stats = landed(term_statistics(df, terms).where(F.col("doc_freq") >= min_df), "terms")
     idf = F.log((F.lit(n_docs) + 1.0) / (F.col("doc_freq") + 1.0))
-    fitted = landed(ranked_terms(stats, vocab_size).withColumn("idf", idf), "vocabulary")
-    return TermModel(fitted, fitted.count(), n_docs, form)
+    stats = term_statistics(df, terms).where(F.col("doc_freq") >= min_df).withColumn("idf", idf)
+    if vocab_size is not None:
+        stats = stats.orderBy(*_by_count()).limit(vocab_size)
+    stats = landed(stats, "terms")
+    return TermModel(stats, stats.count(), n_docs, form)
 
 
 def hashed_bucket(term: Column, buckets: int) -> Column:

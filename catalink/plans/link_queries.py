@@ -43,7 +43,7 @@ SELECT post_id, term, tf::DOUBLE AS weight FROM tf JOIN v USING (term)
 def count_weights(spark, sf_dir):
     terms = _document_terms(spark, sf_dir)
     model = vectorize.fit_terms(terms, form="count", min_df=3)
-    return model.weights(terms).select("post_id", "term", "weight")
+    return model.term_weights(terms).select("post_id", "term", "weight")
 
 
 @query(f"""
@@ -55,9 +55,9 @@ tf AS (SELECT post_id, term, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP
 SELECT post_id, term, tf::DOUBLE AS weight FROM tf
 """)
 def trigram_count_weights(spark, sf_dir):
-    terms = _document_terms(spark, sf_dir, n=3)
-    model = vectorize.fit_terms(terms, form="count")
-    return model.weights(terms).select("post_id", "term", "weight")
+    """Counts of every trigram: with no least frequency a row's own terms are all it takes."""
+    terms = vectorize.with_terms(post_texts(spark, sf_dir), n=3)
+    return vectorize.count_weights(terms).select("post_id", "term", "weight")
 
 
 @query(f"""
@@ -68,7 +68,7 @@ FROM tf JOIN v USING (term)
 def tfidf_weights(spark, sf_dir):
     terms = _document_terms(spark, sf_dir)
     model = vectorize.fit_terms(terms, form="tfidf", min_df=3)
-    return model.weights(terms).select("post_id", "term", F.round("weight", 6).alias("weight"))
+    return model.term_weights(terms).select("post_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""
@@ -79,7 +79,7 @@ def binary_weights(spark, sf_dir):
     """Strict threshold: with threshold 1 a term must occur at least twice."""
     terms = _document_terms(spark, sf_dir)
     model = vectorize.fit_terms(terms, form="count", min_df=3)
-    return model.weights(terms).select(
+    return model.term_weights(terms).select(
         "post_id", "term", vectorize.binarized(F.col("weight"), 1.0).alias("weight"))
 
 
@@ -110,7 +110,7 @@ SELECT post_id, count(*) AS n_active FROM tf JOIN v USING (term) GROUP BY post_i
 def min_active_terms(spark, sf_dir):
     terms = _document_terms(spark, sf_dir)
     model = vectorize.fit_terms(terms, form="count", min_df=3)
-    return model.weights(terms).groupBy("post_id").agg(
+    return model.term_weights(terms).groupBy("post_id").agg(
         F.count(F.lit(1)).alias("n_active")).where("n_active >= 10")
 
 

@@ -35,10 +35,12 @@ def brute(post_rows, item_rows):
     return np.round(p @ i.T, 9)
 
 
-@pytest.mark.parametrize("bound", [link.INDEX_ENTRIES, 0])
+@pytest.mark.parametrize("bound,shipped", [(link.INDEX_ENTRIES, link.INDEX_TERMS),
+                                           (link.INDEX_ENTRIES, 5), (0, link.INDEX_TERMS)])
 @pytest.mark.parametrize("threshold", [0.0, 0.2, 0.4, 0.7])
-def test_best_items_equal_brute_force(corpus, bound, threshold, monkeypatch):
+def test_best_items_equal_brute_force(corpus, bound, shipped, threshold, monkeypatch):
     monkeypatch.setattr(link, "ROWS_PER_SALT", 7)
+    monkeypatch.setattr(link, "INDEX_TERMS", shipped)
     post_rows, item_rows, posts, items, model = corpus
     scores = brute(post_rows, item_rows)
     want = {p: (int(row.argmax()), row.max()) for p, row in enumerate(scores) if row.max() > threshold}
@@ -47,8 +49,10 @@ def test_best_items_equal_brute_force(corpus, bound, threshold, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("bound", [link.INDEX_ENTRIES, 0])
-def test_all_similarities_and_ranks(corpus, bound):
+@pytest.mark.parametrize("bound,shipped", [(link.INDEX_ENTRIES, link.INDEX_TERMS),
+                                           (link.INDEX_ENTRIES, 5), (0, link.INDEX_TERMS)])
+def test_all_similarities_and_ranks(corpus, bound, shipped, monkeypatch):
+    monkeypatch.setattr(link, "INDEX_TERMS", shipped)
     post_rows, item_rows, posts, items, model = corpus
     scores = brute(post_rows, item_rows)
     grouped = link.similar_items(posts, items, model, threshold=0.2, max_entries=bound).collect()
