@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from catalink.llm.components import components
 from catalink.llm.hashing import mix, word_hashes
+from catalink.llm.textbytes import unused
 from catalink.session import landed
 
 WORDS, THRESHOLD = 5, 0.8
@@ -270,6 +271,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     belongs to several of its texts, keeps the text of the least digest; rows equal in both are
     one.
     """
+    own, key = unused("kept_id", docs), unused("kept_digest", docs)
     digest = F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")))
     joined = landed(_joined(docs, id_col, text_col, THRESHOLD, digest)
                     .filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
@@ -279,11 +281,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
            .select("least.doc_id", "least.digest", (F.col("n") > 1).alias("several")))
     wordless = joined.filter("root is null").select("doc_id", "digest").distinct()
     stays = landed(one.unionByName(wordless.withColumn("several", F.lit(False))).select(
-        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "several"), "stays")
+        F.col("doc_id").alias(own), F.col("digest").alias(key), "several"), "stays")
 
     def rows_of(stays: DataFrame) -> DataFrame:
-        return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
-                         & digest.eqNullSafe(F.col("__digest")), "left_semi")
+        return docs.join(stays.drop("several"), F.col(f"`{id_col}`").eqNullSafe(F.col(own))
+                         & digest.eqNullSafe(F.col(key)), "left_semi")
 
     kept = rows_of(stays.filter("not several"))
     again = stays.filter("several")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from catalink.llm.folds import fold
 from catalink.llm.pretokens import shared
+from catalink.llm.textbytes import unused
 
 #: Bound of the training sample, in documents.
 SAMPLE_ROWS = 20_000
@@ -148,18 +149,20 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     The sample is drawn from the labels first, so only its documents are read further. Rows
     without a label teach nothing.
     """
+    own, label = unused("label_id", docs), unused("label_value", docs)
     known = labels.filter((fold(id_col, folds) != held_out)
                           & F.col(f"`{label_col}`").isin(0, 1)).select(
-        F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__label"))
+        F.col(f"`{id_col}`").alias(own), F.col(f"`{label_col}`").cast("int").alias(label))
     n = max(known.count(), 1)
-    drawn = known.filter(F.pmod(F.xxhash64("__id"), F.lit(n)) < SAMPLE_ROWS).limit(2 * SAMPLE_ROWS)
+    drawn = known.filter(F.pmod(F.xxhash64(own), F.lit(n)) < SAMPLE_ROWS).limit(2 * SAMPLE_ROWS)
     text = F.col(f"`{text_col}`")
-    sample = (docs.join(F.broadcast(drawn), F.col(f"`{id_col}`") == F.col("__id"))
-              .select("__id", "__label", statistics_of(text).alias("x"))
+    sample = (docs.join(F.broadcast(drawn), F.col(f"`{id_col}`") == F.col(own))
+              .select(F.col(own).alias("id"), F.col(label).alias("label"),
+                      statistics_of(text).alias("x"))
               .limit(2 * SAMPLE_ROWS).collect())
-    sample.sort(key=lambda r: (r["__id"], r["__label"], r.x))
+    sample.sort(key=lambda r: (r.id, r.label, r.x))
     x = np.array([r.x for r in sample], dtype=np.float64).reshape(-1, len(STATISTICS))
-    return grow(x, np.array([r["__label"] for r in sample], dtype=np.float64))
+    return grow(x, np.array([r.label for r in sample], dtype=np.float64))
 
 
 def quality_of(docs: DataFrame, forest: Forest, text_col: str = "text") -> Column:
@@ -179,8 +182,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                   held_out: int = 0) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (score of 0.3 or more).
 
-    Equal texts get equal scores. Other columns of `docs` are ignored; an empty table gives an
-    empty result; without labels the score is that of the prior.
+    Equal texts get equal scores, in repeated rows too; null and empty texts have the statistics of
+    no bytes, very long ones are measured whole. Other columns of `docs` are ignored, whatever their
+    names; an empty table gives an empty result; without labels the score is that of the prior.
     """
     forest = fit_documents(docs, labels, id_col, text_col, label_col, folds, held_out)
     return docs.select(

@@ -23,6 +23,15 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def unused(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any spelling."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name, k = stem, 0
+    while name.lower() in taken:
+        name, k = f"{stem}_{k}", k + 1
+    return name
+
+
 def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
     """doc_id, text (UTF-8 bytes; null: empty) and further columns made of the input's."""
     text = F.coalesce(named(text_col).cast("string"), F.lit("")).cast("binary")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalink.llm import components, exact_dedup, jaccard_join, substrings
 
@@ -181,3 +182,36 @@ def test_empty_tables(empty):
     assert exact_dedup.without_copies(empty).count() == 0
     assert substrings.remove_repeats(empty).count() == 0
     assert jaccard_join.similarity_join(empty).count() == 0
+
+
+def _crowded(docs):
+    """The same rows with columns that have the operators' helper names, and a dotted id."""
+    for name in ("__id", "__digest", "__label", "kept_id", "kept_digest", "KEPT_ID_1", "label_id",
+                 "label_value", "digest", "row", "keep"):
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit("x"))
+    return docs.withColumn("the.id", F.col("doc_id"))
+
+
+def test_clashing_and_dotted_names(messy):
+    from catalink.llm import quality
+
+    _, docs = messy
+    crowded = _crowded(docs)
+    plain = Counter(map(tuple, exact_dedup.exact_copies(docs).collect()))
+    assert Counter(map(tuple, exact_dedup.exact_copies(crowded, "the.id").collect())) == plain
+    for function in (exact_dedup.without_copies, jaccard_join.one_of_each_group):
+        want = Counter((r.doc_id, r.text) for r in function(docs).collect())
+        got = function(crowded)
+        assert got.columns == crowded.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    labels = docs.where("doc_id < 40").select(
+        "doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit("x").alias("__id"))
+    assert quality.score_quality(crowded, labels).count() == docs.count()
+
+
+def test_a_frequent_text_whose_ids_are_null_keeps_one_row(spark):
+    docs = spark.range(0, 5000, 1, 6).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("all the same").alias("text"))
+    rows = exact_dedup.exact_copies(docs).collect()
+    assert sum(r.kept for r in rows) == 1 and {(r.keep_id, r.group_size) for r in rows} == {(None, 5000)}

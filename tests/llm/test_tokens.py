@@ -105,3 +105,27 @@ def test_token_counts(messy):
 def test_empty_tables(empty):
     assert bpe.encode_documents(empty, RANKS, PATTERN).count() == 0
     assert token_counts.count_tokens(empty, RANKS, PATTERN).count() == 0
+
+
+def test_a_very_long_pretoken_takes_little_memory():
+    scores = token_counts.zipf_scores(pretokens.read_ranks(RANKS))
+    rng = random.Random(4)
+    parts = ["a", "the", "on", "ing", "er", "é", "漢", "z", "q", "lich"]
+    trie, plain = token_counts.Trie(scores), token_counts.Trie(scores)
+    word = "".join(rng.choice(parts) for _ in range(100_000)).encode()
+    tracemalloc.start()
+    assert trie.insert(word) > 10_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and len(trie.score) <= token_counts.LONG + 1
+
+    def best(word):
+        held = [(0, 0)]
+        for i in range(1, len(word) + 1):
+            held.append(max((held[i - n][0] + scores[word[i - n:i]], held[i - n][1] - 1)
+                            for n in range(1, min(i, plain.reach) + 1) if word[i - n:i] in scores))
+        return -held[-1][1]
+
+    for size in (10, 63, 64, 65, 66, 200, 900):
+        some = word[1000:1000 + size]
+        assert plain.insert(some) == best(some)
