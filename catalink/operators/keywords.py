@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from catalink.functions.text import phrase_key, phrase_words, prep_words, sub_sequences, term_runs
 from catalink.operators.joins import lookup_join
+from catalink.session import landed
 from catalink.operators.vectorize import hashed_bucket, hashed_idf
 from catalink.words import PHRASE_STOP_WORDS
 
@@ -39,16 +40,27 @@ def phrase_dictionary(rows: DataFrame, fields: str = "fields", marker: str = "un
     ).distinct()
 
 
+def written_phrases(phrases: DataFrame) -> DataFrame:
+    """A dictionary written once for many calls of phrase_matches."""
+    return landed(phrases.select("phrase").distinct(), "phrases")
+
+
 def phrase_candidates(text: Column, longest: int = 3) -> Column:
     """Distinct word runs of a text that may equal a dictionary phrase."""
     return F.array_distinct(sub_sequences(phrase_words(text), longest))
 
 
 def phrase_matches(posts: DataFrame, phrases: DataFrame, key: str = "post_id",
-                   text: str = "text", longest: int = 3) -> DataFrame:
-    """(post, n_phrases): posts holding at least one dictionary phrase."""
+                   text: str = "text", longest: int = 3, written: bool = False) -> DataFrame:
+    """(post, n_phrases): posts holding at least one dictionary phrase.
+
+    ``written`` says that ``phrases`` is a written table of distinct phrases, as written_phrases
+    gives; it is then used as it stands, and the posts, each of which has a phrase once, are counted.
+    """
     runs = posts.select(key, F.explode(phrase_candidates(F.col(text), longest)).alias("phrase"))
-    hits = lookup_join(runs, phrases.select("phrase").distinct(), "phrase", "left_semi")
+    known = phrases.select("phrase") if written else phrases.select("phrase").distinct()
+    hits = lookup_join(runs, known, "phrase", "left_semi", written=written, unique=written,
+                       most_left=posts.count() if written else None)
     return hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_phrases"))
 
 

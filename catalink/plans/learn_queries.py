@@ -279,10 +279,8 @@ def _with_truth(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query()
 def reduced_item_ranks(spark, sf_dir):
     """Rank of each post's true item in a space of sixteen term directions."""
-    weights, width = _talk_weights(spark, sf_dir)
-    rows = landed(factor.sparse_rows(weights, "key"), "rows")
-    projected = factor.fit_term_space(rows, width, 16).project(rows, "key", width)
-    return factor.dense_ranks(*_with_truth(projected))
+    return factor.dense_ranks(*_with_truth(landed(
+        _directions(spark, sf_dir, 16, False).projected(), "projected")))
 
 
 @query()
@@ -302,9 +300,7 @@ def link_by_factors(spark, sf_dir):
 @query()
 def svd_projection(spark, sf_dir):
     """Documents projected on the eight leading directions of the document-term matrix."""
-    weights, width = _talk_weights(spark, sf_dir)
-    rows = landed(factor.sparse_rows(weights, "key"), "rows")
-    return factor.fit_term_space(rows, width, 8).project(rows, "key", width)
+    return _directions(spark, sf_dir, 8, False).projected()
 
 
 def _component_sql(k: int, centred: bool) -> str:
@@ -381,9 +377,7 @@ def pca_rotation(spark, sf_dir):
 @query()
 def link_by_svd(spark, sf_dir):
     """Ground-truth posts linked in the reduced space of the leading sixteen directions."""
-    weights, width = _talk_weights(spark, sf_dir)
-    rows = landed(factor.sparse_rows(weights, "key"), "rows")
-    projected = factor.fit_term_space(rows, width, 16).project(rows, "key", width)
+    projected = landed(_directions(spark, sf_dir, 16, False).projected(), "projected")
     return factor.best_dense(*_split(projected), threshold=0.0)
 
 

@@ -9,14 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from catalink.functions.ids import PRIME, seeded_key
 from catalink.functions.text import topic_of
-from catalink.operators.keywords import phrase_matches
+from catalink.operators.keywords import phrase_matches, written_phrases
 from catalink.operators.sentiment import sentiment_mean, sentiment_score
 
 BATCHES_PER_FILE_SET = 60
 ROWS_PER_FILE = 5_000_000
+# Parts of window states that are merged into one.
+STATES_PER_LEVEL = 16
 
 
-def wanted_posts(posts: DataFrame, phrases: DataFrame, url_part: str = "play.google") -> DataFrame:
+def wanted_posts(posts: DataFrame, phrases: DataFrame, url_part: str = "play.google",
+                 written: bool = False) -> DataFrame:
     """Posts that hold a dictionary phrase or link to ``url_part``; works on any batch.
 
     Only posts without a matching link are looked up in the dictionary.
@@ -24,7 +27,7 @@ def wanted_posts(posts: DataFrame, phrases: DataFrame, url_part: str = "play.goo
     by_link = F.coalesce(
         F.exists("urlEntities", lambda u: u["expandedURL"].contains(url_part)), F.lit(False))
     others = posts.where(~by_link)
-    matched = phrase_matches(others, phrases, "id", "text").select("id")
+    matched = phrase_matches(others, phrases, "id", "text", written=written).select("id")
     return posts.where(by_link).unionByName(others.join(matched, "id", "left_semi"))
 
 
@@ -34,13 +37,15 @@ def collect(posts: DataFrame, phrases: DataFrame, out: str, checkpoint: str, *,
     """Write the wanted posts of every micro-batch and merge the parts of each full set.
 
     A batch is written to a folder named by its id with overwrite, so a repeated batch
-    replaces itself. Empty batches write nothing. ``interval`` None drains what is there.
+    replaces itself. Empty batches write nothing. ``interval`` None drains what is there. The
+    dictionary is written once, when the stream starts.
     """
+    dictionary = written_phrases(phrases)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by the emptiness test, the filter and the lookup
         if not batch.isEmpty():
-            wanted_posts(batch, phrases, url_part).write.mode("overwrite").json(
+            wanted_posts(batch, dictionary, url_part, written=True).write.mode("overwrite").json(
                 part_path(out, batch_id))
         batch.unpersist()
         if (batch_id + 1) % per_set == 0:
@@ -143,27 +148,59 @@ def write_windows(windows: DataFrame, out: str, checkpoint: str,
 
 
 def write_latest(windows: DataFrame, out: str, checkpoint: str,
-                 interval: str | None = "10 seconds") -> StreamingQuery:
-    """Write the windows each micro-batch changed, open ones too, to a part of their own.
+                 interval: str | None = "10 seconds", fan_in: int = STATES_PER_LEVEL) -> StreamingQuery:
+    """Write the windows each micro-batch changed, open ones too, and merge the parts by levels.
 
-    A repeated batch replaces its part, so nothing counts twice.
+    A repeated batch replaces its part and finishes what was left of its merges, so nothing counts
+    twice and nothing is lost.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        write_states(batch, out, batch_id, fan_in)
 
     writer = (windows.writeStream.outputMode("update").foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     return _start(writer, interval)
 
 
-def latest_windows(spark: SparkSession, out: str) -> DataFrame:
-    """(window_start, topic, mean, n): the last state written of each window."""
-    return spark.read.parquet(out).groupBy("window_start", "topic").agg(
+def state_path(out: str, level: int, batch_id: int) -> str:
+    return f"{out}/level={level}/batch={batch_id}"
+
+
+def write_states(batch: DataFrame, out: str, batch_id: int, fan_in: int = STATES_PER_LEVEL) -> None:
+    """Write one batch of window states and merge every level that is full with it.
+
+    ``fan_in`` parts of a level become one of the next, under the number of the last, with the last
+    state of each window; they are removed only after it was committed. Until then a reader finds a
+    state twice, which is the same state. So the parts of n batches are some fan_in x log n.
+    """
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").parquet(state_path(out, 0, batch_id))
+    level, span = 0, fan_in
+    while (batch_id + 1) % span == 0:
+        step = span // fan_in
+        numbers = range(batch_id + 1 - span + step - 1, batch_id + 1, step)
+        parts = [p for p in (state_path(out, level, n) for n in numbers) if _exists(spark, p)]
+        merged = state_path(out, level + 1, batch_id)
+        if parts and not _exists(spark, f"{merged}/_SUCCESS"):
+            states = spark.read.option("basePath", out).parquet(*parts)
+            _last_states(states).write.mode("overwrite").parquet(merged)
+        for part in parts:
+            _remove(spark, part)
+        level, span = level + 1, span * fan_in
+
+
+def _last_states(states: DataFrame) -> DataFrame:
+    return states.groupBy("window_start", "topic").agg(
         F.max_by(F.struct("mean", "n"), "batch").alias("last")).select(
         "window_start", "topic", "last.*")
 
 
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """(window_start, topic, mean, n): the last state written of each window."""
+    return _last_states(spark.read.parquet(out))
+
+
 def drain(query: StreamingQuery, timeout: float | None = None) -> None:
     """Wait for a draining query and raise what it raised."""
     query.awaitTermination(timeout) if timeout else query.awaitTermination()

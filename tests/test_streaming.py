@@ -41,6 +41,62 @@ def test_collection_and_compaction(spark, tmp_path):
     assert ids() == want
 
 
+def test_the_dictionary_is_written_once_a_stream(spark, tmp_path):
+    from pathlib import Path
+
+    from catalink.session import shared_dir
+
+    landed_posts(tmp_path / "in", 6)
+    phrases = spark.createDataFrame([("angry birds space",)] * 3, "phrase string")
+    before = set(Path(shared_dir(spark)).iterdir())
+    stream = stream_posts(spark, str(tmp_path / "in"), files_per_batch=1)
+    jobs.drain(jobs.collect(stream, phrases, str(tmp_path / "out"), str(tmp_path / "progress"), interval=None))
+    assert len({p.name for p in set(Path(shared_dir(spark)).iterdir()) - before}) == 1
+
+
+def _states(spark, batch_id):
+    """States of a batch: its own window, and a later state of one five batches earlier."""
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(seconds=10 * k), "t", float(batch_id), n) for k, n in (
+        (batch_id, 1), (batch_id - 5, 2)) if k >= 0]
+    return spark.createDataFrame(rows, "window_start timestamp, topic string, mean double, n long")
+
+
+def test_window_states_are_merged_by_levels(spark, tmp_path):
+    out = str(tmp_path / "states")
+    want = {}
+    for b in range(20):
+        jobs.write_states(_states(spark, b), out, b, fan_in=3)
+        want |= {r["window_start"]: (r["mean"], r["n"]) for r in _states(spark, b).collect()}
+    rows = jobs.latest_windows(spark, out).collect()
+    assert len(rows) == 20 and {r["window_start"]: (r["mean"], r["n"]) for r in rows} == want
+    folders = [p for p in (tmp_path / "states").glob("level=*/batch=*")]
+    assert sorted(f"{p.parent.name}/{p.name}" for p in folders) == [
+        "level=0/batch=18", "level=0/batch=19", "level=2/batch=17", "level=2/batch=8"]
+
+
+def test_a_kill_between_merge_and_retirement_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "states")
+    for b in range(2):
+        jobs.write_states(_states(spark, b), out, b, fan_in=3)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "_remove", killed)
+        try:
+            jobs.write_states(_states(spark, 2), out, 2, fan_in=3)
+        except RuntimeError:
+            pass
+    read = lambda: sorted(map(tuple, jobs.latest_windows(spark, out).collect()))
+    found = read()
+    assert len(found) == 3
+    jobs.write_states(_states(spark, 2), out, 2, fan_in=3)
+    assert read() == found
+    assert len(list((tmp_path / "states").glob("level=*/batch=*"))) == 1
+
+
 def test_late_events_are_excluded(spark, tmp_path):
     start = datetime(2024, 1, 1)
     def write(name, rows):
