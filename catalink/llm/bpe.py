@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalink.llm.pretokens import (REMEMBERED, id_and_text, lengths_by_end, pieces, read_ranks,
-                                    shared, slices, splitter)
+from catalink.llm.pretokens import (id_and_text, lengths_by_end, pieces, read_ranks, shared,
+                                    slices, splitter)
 
 #: Longest pre-token, in bytes, whose prefixes or ids are remembered by their text; longest one
 #: whose array is kept for the next.
 LONG, LONG_KEPT = 64, 1 << 20
+#: Pre-tokens and pieces remembered by a task, and half the prefixes and borders.
+REMEMBERED = 200_000
 
 
 def merge_all(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
