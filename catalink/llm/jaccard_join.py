@@ -1,10 +1,13 @@
 """Similarity join on word shingles: MinHash LSH forest, then exact verification.
 
-Every distinct shingle set gets TREES labels, each a string of MinHash values. Sorted, the labels
-of a tree are a prefix trie: sets that agree on a prefix stand together. Matching starts from whole
-labels and shortens the prefix until a pair at the threshold shares one in some tree with the
-target probability. Sets under a common prefix are linked to its least member only, never pair by
-pair; the components of these links hold all candidate pairs.
+Every distinct shingle set gets TREES labels, each a string of DEPTH MinHash values. Sorted, the
+labels of a tree are a prefix trie: sets that agree on a prefix stand together. Matching starts from
+whole labels. The pairs met there are measured by the share of equal values in all trees; as long as
+some pair that may be at the threshold would be met with less than the target probability, prefixes
+are shortened by a value and matched again. The shortest length that can be needed, that of a pair
+right at the threshold, is known beforehand, so leaves without a neighbour there are left out of all
+levels. Sets under a common prefix are linked to its least member only, never pair by pair; the
+components of these links hold all candidate pairs.
 
 Shingles then travel once, to their component, and all pairs of a component are verified
 exactly in matrices of shared shingles. A large component is dealt over several blocks by hash and
@@ -31,6 +34,8 @@ from catalink.session import landed
 WORDS, THRESHOLD = 5, 0.8
 #: Trees, MinHash values of a label, bits of a value, and the recall prefixes are shortened for.
 TREES, DEPTH, VALUE_BITS, RECALL = 16, 6, 10, 0.999
+#: Standard errors by which a measured similarity may be too high or too low.
+ERRORS = 3
 #: Bounds of a block of a component: sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
 #: Shingles signed, and columns of a matrix of shared shingles, at a time.
@@ -56,22 +61,40 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(run))
 
 
-def prefix_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """Shorten prefixes until a pair at the threshold is met with the wanted probability."""
-    while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
-        depth -= 1
-    return depth
+def recall_at(depth: int, similarity: float) -> float:
+    """Probability that a pair of this similarity shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity ** depth) ** TREES
 
 
-def labels(found: np.ndarray, depth: int) -> np.ndarray:
-    """For each tree, the label's prefix of so many MinHash values as one number."""
-    factors = mix(np.arange(1, TREES * depth + 1, dtype=np.uint64)) | np.uint64(1)
+def shortest_prefix(threshold: float) -> int:
+    """Length at which a pair right at the threshold is met with the wanted probability."""
+    return next((d for d in range(DEPTH, 1, -1) if recall_at(d, threshold) >= RECALL), 1)
+
+
+def long_enough(depth: int, threshold: float, equal: list[int]) -> bool:
+    """Whether prefixes of this length meet the recall for pairs with so many equal values.
+
+    A pair may be up to ERRORS standard errors less similar than measured; pairs that are
+    below the threshold even with as much added do not count.
+    """
+    values = TREES * DEPTH
+    for n in equal:
+        error = ERRORS * (max(n * (values - n), values) / values) ** 0.5
+        if n + error >= threshold * values and (
+                recall_at(depth, max(threshold, (n - error) / values)) < RECALL):
+            return False
+    return True
+
+
+def labels(found: np.ndarray) -> np.ndarray:
+    """For each tree, the label of DEPTH MinHash values as one number, the first value highest."""
+    factors = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(found), SIGNED):
         least = np.minimum(least, (factors[:, None] * found[a:a + SIGNED]).min(axis=1))
-    values = (mix(least) >> np.uint64(64 - VALUE_BITS)).reshape(TREES, depth)
+    values = (mix(least) >> np.uint64(64 - VALUE_BITS)).reshape(TREES, DEPTH)
     out = np.zeros(TREES, np.uint64)
-    for k in range(depth):
+    for k in range(DEPTH):
         out = out << np.uint64(VALUE_BITS) | values[:, k]
     return out.astype(np.int64)
 
@@ -81,7 +104,7 @@ def node_of(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
-def signed(docs: DataFrame, depth: int) -> DataFrame:
+def signed(docs: DataFrame) -> DataFrame:
     """doc_id, digest, node, n_shingles, labels of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -92,7 +115,7 @@ def signed(docs: DataFrame, depth: int) -> DataFrame:
                 batch.column(0), batch.column(2),
                 pa.array([node_of(x) for x in sets], pa.binary()),
                 pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([labels(x, depth) if len(x) else [] for x in sets],
+                pa.array([labels(x) if len(x) else [] for x in sets],
                          pa.list_(pa.int64()))],
                 ["doc_id", "digest", "node", "n_shingles", "labels"])
 
@@ -100,17 +123,48 @@ def signed(docs: DataFrame, depth: int) -> DataFrame:
         sign, f"doc_id {kind}, digest binary, node binary, n_shingles long, labels array<long>")
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """Links from each set to the least set that shares a prefix with it in some tree.
+def _prefix(depth: int) -> Column:
+    return F.shiftright("label", VALUE_BITS * (DEPTH - depth))
+
+
+def _equal_values(left: str, right: str) -> Column:
+    """In how many values two sets' labels agree, of TREES * DEPTH."""
+    def of_tree(x: Column, y: Column) -> Column:
+        differ = x.bitwiseXOR(y)
+        return sum(((F.shiftright(differ, VALUE_BITS * k) % (1 << VALUE_BITS)) == 0).cast("int")
+                   for k in range(DEPTH))
+
+    return F.aggregate(F.zip_with(left, right, of_tree), F.lit(0), lambda total, n: total + n)
+
+
+def candidate_links(sets: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """Links from each set to the least set that shares a prefix with it, and the prefix length.
 
-    The least sets are written first, so Spark can split the join of a prefix that many share.
+    The least sets of a level are written first, with their labels, so Spark can split the join
+    of a prefix that many share.
     """
-    rows = sets.select("node", F.posexplode("labels").alias("tree", "label"))
-    least = landed(rows.groupBy("tree", "label")
-                   .agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
-                   .filter("n > 1"), "prefixes")
-    return (rows.join(least, ["tree", "label"]).filter("node != least")
-            .select(F.col("node").alias("a"), F.col("least").alias("b")))
+    shortest = shortest_prefix(threshold)
+    leaves = sets.select("node", F.posexplode("labels").alias("tree", "label"))
+    near = leaves.withColumn("prefix", _prefix(shortest))
+    several = landed(near.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"))
+                     .filter("n > 1").drop("n"), "prefixes")
+    leaves = landed(near.join(several, ["tree", "prefix"], "left_semi").drop("prefix"), "leaves")
+    for depth in range(DEPTH, shortest - 1, -1):
+        rows = leaves.withColumn("prefix", _prefix(depth))
+        least = (rows.groupBy("tree", "prefix")
+                 .agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+                 .join(sets.select(F.col("node").alias("least"), F.col("labels").alias("theirs")),
+                       "least").drop("n"))
+        links = (rows.join(landed(least, "least"), ["tree", "prefix"]).filter("node != least")
+                 .select("node", "least", "theirs"))
+        if depth > shortest:
+            links = landed(links.join(sets.select("node", "labels"), "node").select(
+                "node", "least", _equal_values("labels", "theirs").alias("equal")), "links")
+            equal = [r.equal for r in links.groupBy("equal").count().collect()]
+            if not long_enough(depth, threshold, equal):
+                continue
+        break
+    return links.select(F.col("node").alias("a"), F.col("least").alias("b")), depth
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -195,17 +249,16 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float,
             digest: Column) -> DataFrame:
     """The rows of the join with digest (as given) and root (name of the class, null if wordless)."""
-    depth = prefix_depth(TREES, DEPTH, threshold, RECALL)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
                        F.col(f"`{text_col}`").cast("string").alias("text"),
                        digest.alias("digest"))
-    known = landed(signed(rows, depth), "signatures")
+    known = landed(signed(rows), "signatures")
     classes = landed(
         known.filter("node is not null").groupBy("node").agg(
             F.max("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies"),
             F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")),
         "classes")
-    near = components(candidate_links(classes))
+    near = components(candidate_links(classes, threshold)[0])
     near = landed(near.withColumnRenamed("root", "comp").join(classes.drop("labels"), "node"),
                   "candidates")
     found = landed(verified(_members(rows, near), threshold), "verified")

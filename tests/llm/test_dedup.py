@@ -166,8 +166,51 @@ def test_one_row_of_each_group_where_ids_are_null_or_repeat(spark):
 
 
 def test_prefixes_shorten_until_the_recall_is_met():
-    depth = jaccard_join.prefix_depth(16, 6, 0.8, 0.999)
-    assert 1 - (1 - 0.8 ** depth) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 16
+    shortest = jaccard_join.shortest_prefix(0.8)
+    assert jaccard_join.recall_at(shortest, 0.8) >= 0.999 > jaccard_join.recall_at(shortest + 1, 0.8)
+    values = jaccard_join.TREES * jaccard_join.DEPTH
+    assert jaccard_join.long_enough(6, 0.8, [])
+    assert jaccard_join.long_enough(6, 0.8, [values // 2, values])  # far below, and copies
+    assert not jaccard_join.long_enough(6, 0.8, [int(values * 0.8)])
+    assert jaccard_join.long_enough(shortest, 0.8, list(range(values + 1)))
+
+
+def _edited(rng, n, changed):
+    """n texts of 100 words and of each a second one with some words changed, far apart."""
+    out = []
+    for i in range(n):
+        words = [f"t{i}w{k}" for k in range(100)]
+        out.append(" ".join(words))
+        for k in changed:
+            words[k] = f"t{i}new{rng.integers(1 << 30)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("changed, depths", [((99,), {6, 5}), ((50, 70), {4})])
+def test_runs_shorten_prefixes_as_the_corpus_needs(spark, changed, depths):
+    """Pairs of similarity 0.98 are met by long prefixes; of 0.81, only by the shortest."""
+    texts = _edited(np.random.default_rng(5), 60, changed)
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    known = jaccard_join.signed(docs.withColumn("digest", F.lit(None).cast("binary")))
+    links, depth = jaccard_join.candidate_links(known.dropDuplicates(["node"]), 0.8)
+    assert depth in depths
+    assert links.distinct().count() >= 60
+    got = jaccard_join.similarity_join(docs).collect()
+    assert Counter(map(tuple, got)) == Counter(similarity_truth(rows))
+
+
+def test_texts_from_one_template_make_no_large_component(spark):
+    """Texts that share a third of their shingles, none of them near another."""
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join(common + [f"t{i}w{k}" for k in range(65)]) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = jaccard_join.signed(docs.withColumn("digest", F.lit(None).cast("binary")))
+    links, depth = jaccard_join.candidate_links(known, 0.8)
+    sizes = [r["count"] for r in components.components(links).groupBy("root").count().collect()]
+    assert depth == 6 and sum(n * (n - 1) // 2 for n in sizes) < 0.01 * 600 * 599 / 2
+    assert {r.n_links for r in jaccard_join.similarity_join(docs).collect()} == {0}
 
 
 def test_components_of_a_path_and_a_star(spark):
