@@ -32,8 +32,11 @@ from catalink.session import landed
 INDEX_ENTRIES = 8_000_000
 # Terms of a vocabulary that is shipped with the index; of a larger one only the items' terms are.
 INDEX_TERMS = 1_000_000
-# Cells of one score block inside a task (8 bytes each).
+# Cells of one score block inside a task (8 bytes each); a block of postings that stays in the caches.
 BLOCK_CELLS = 4_000_000
+SCORE_CELLS = 500_000
+# Similarities of posts and items that one task works out at most, unless a post has more of them.
+TASK_CELLS = 1_000_000_000
 # Similarities are compared at this many decimals so that ties do not hang on the
 # order in which floating-point products were added.
 DECIMALS = 9
@@ -117,33 +120,43 @@ def _lengths(batch: pa.RecordBatch, index: ItemIndex, rows, weight):
 
 
 def _score_blocks(n_rows: int, rows, terms, weight, norms, index: ItemIndex):
-    """Yield (first row, score matrix) blocks; a block is bounded by BLOCK_CELLS."""
+    """Yield (first row, score matrix) blocks; a block is bounded by SCORE_CELLS or one row."""
     n_items = len(index.items)
     span = index.starts[terms + 1] - index.starts[terms]
     work = np.bincount(rows, weights=span, minlength=n_rows) + n_items
     bounds = np.searchsorted(rows, np.arange(n_rows + 1))
-    block = np.cumsum(work) // BLOCK_CELLS
+    block = np.cumsum(work) // SCORE_CELLS
     edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [n_rows]))
     for first, last in zip(edges[:-1], edges[1:]):
         if first == last:
             continue
         lo, hi = bounds[first], bounds[last]
         reps = span[lo:hi]
-        total = int(reps.sum())
-        offsets = np.repeat(np.cumsum(reps) - reps, reps)
-        posting = np.repeat(index.starts[terms[lo:hi]], reps) + np.arange(total) - offsets
-        cell = np.repeat(rows[lo:hi] - first, reps) * n_items + index.columns[posting]
-        product = np.repeat(weight[lo:hi], reps) * index.values[posting]
+        begin = index.starts[terms[lo:hi]] - (np.cumsum(reps) - reps)
+        posting = np.repeat(begin, reps)
+        posting += np.arange(len(posting))
+        cell = np.repeat((rows[lo:hi] - first) * n_items, reps)
+        cell += index.columns[posting]
+        product = np.repeat(weight[lo:hi], reps)
+        product *= index.values[posting]
         scores = np.bincount(cell, weights=product, minlength=(last - first) * n_items)
-        scores = scores.astype(float).reshape(last - first, n_items)
+        # a row without length has no term, so its scores are 0 as they stand
+        scores = scores.astype(float, copy=False).reshape(last - first, n_items)
         length = norms[first:last, None]
-        scores = np.divide(scores, length, out=np.zeros_like(scores), where=length > 0)
-        yield first, np.round(scores, DECIMALS)
+        np.divide(scores, length, out=scores, where=length > 0)
+        yield first, np.round(scores, DECIMALS, out=scores)
 
 
-def _post_batches(posts: DataFrame, key: str, model: TermModel, partial: bool,
+def _post_batches(posts: DataFrame, key: str, model: TermModel, partial: bool, n_items: int,
                   carried: tuple[str, ...] = ()) -> DataFrame:
-    """Posts with the counts of their terms, and their lengths where the index has no other terms."""
+    """Posts with the counts of their terms, and their lengths where the index has no other terms.
+
+    Work grows with posts times items, which sizes of files do not tell: posts are dealt to as many
+    tasks as keep each within TASK_CELLS.
+    """
+    tasks = -(-posts.count() * n_items // TASK_CELLS)
+    if tasks > max(1, posts.rdd.getNumPartitions()):
+        posts = posts.repartition(tasks)
     rows = posts.select(key, *carried, term_runs(F.col("terms")).alias("runs"))
     if not partial:
         return rows
@@ -154,7 +167,7 @@ def _post_batches(posts: DataFrame, key: str, model: TermModel, partial: bool,
 
 
 def _shipped_index(items: DataFrame, key: str, model: TermModel, min_active: int,
-                   max_entries: int) -> tuple[Broadcast, bool] | None:
+                   max_entries: int) -> tuple[Broadcast, bool, int] | None:
     """The item side as a shipped index when it is small enough, else None.
 
     A vocabulary beyond INDEX_TERMS stays where it is: the index then holds the items' terms only,
@@ -181,7 +194,7 @@ def _shipped_index(items: DataFrame, key: str, model: TermModel, min_active: int
         terms = model.entries["term"].take(pa.array(order)).to_pylist()
         idf = model.entries["idf"].to_numpy()[order]
     index = _build_index(entries, terms, idf, model.form, key, min_active, partial)
-    return items.sparkSession.sparkContext.broadcast(index), partial
+    return items.sparkSession.sparkContext.broadcast(index), partial, len(index.items)
 
 
 def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key: str = "post_id",
@@ -198,7 +211,7 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
         pairs = _joined_pairs(posts, weights, model, post_key, item_key, min_active, threshold)
         best = most_similar(item_key)
         return pairs.groupBy(post_key).agg(best.alias("best")).select(post_key, "best.*")
-    shipped, partial = shipped
+    shipped, partial, n_items = shipped
     schema = T.StructType([
         posts.schema[post_key], items.schema[item_key],
         T.StructField("similarity", T.DoubleType()),
@@ -229,7 +242,7 @@ def best_items(posts: DataFrame, items: DataFrame, model: TermModel, *, post_key
                     names=[post_key, item_key, "similarity"],
                 )
 
-    return _post_batches(posts, post_key, model, partial).mapInArrow(score, schema)
+    return _post_batches(posts, post_key, model, partial, n_items).mapInArrow(score, schema)
 
 
 def _blocks_if_any(n_rows, rows, terms, weight, norms, index):
@@ -264,7 +277,7 @@ def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
         return pairs.groupBy(post_key).agg(
             F.sort_array(F.collect_list(F.struct(item_key, "similarity"))).alias("matches")
         )
-    shipped, partial = shipped
+    shipped, partial, n_items = shipped
     schema = T.StructType([posts.schema[post_key], T.StructField("matches", T.ArrayType(entry))])
     item_type = _arrow_type(items, item_key)
 
@@ -290,7 +303,7 @@ def similar_items(posts: DataFrame, items: DataFrame, model: TermModel, *,
                     names=[post_key, "matches"],
                 )
 
-    return _post_batches(posts, post_key, model, partial).mapInArrow(score, schema)
+    return _post_batches(posts, post_key, model, partial, n_items).mapInArrow(score, schema)
 
 
 def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
@@ -320,7 +333,7 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
         return above.select(
             post_key, true_key, f"best.{item_key}", F.col("rank").cast("int").alias("rank"),
             F.col("best.similarity").alias("confidence"))
-    shipped, partial = shipped
+    shipped, partial, n_items = shipped
     schema = T.StructType([
         posts.schema[post_key], posts.schema[true_key], items.schema[item_key],
         T.StructField("rank", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
@@ -341,7 +354,7 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
                 line = np.arange(len(scores))
                 top = scores[line, best]
                 hit = np.flatnonzero((index.items[column] == wanted) & (top > 0))
-                rank = (scores[hit] > scores[hit, column[hit]][:, None]).sum(axis=1)
+                rank = np.count_nonzero(scores > scores[line, column][:, None], axis=1)[hit]
                 taken = pa.array(first + hit)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(post_key).take(taken), batch.column(true_key).take(taken),
@@ -350,7 +363,7 @@ def true_item_ranks(posts: DataFrame, items: DataFrame, model: TermModel, *,
                     names=columns,
                 )
 
-    return _post_batches(posts, post_key, model, partial, (true_key,)).mapInArrow(score, schema)
+    return _post_batches(posts, post_key, model, partial, n_items, (true_key,)).mapInArrow(score, schema)
 
 
 def _joined_pairs(posts: DataFrame, item_rows: DataFrame, model: TermModel, post_key: str,

@@ -277,3 +277,13 @@ def test_dense_groups_are_matched_within_themselves(spark):
     assert len(got) == 30 and {r["rank"] for r in got} == {0}
     assert factor.best_dense(posts.limit(0), items, by="g").collect() == []
     assert factor.best_dense(posts, items.limit(0)).collect() == []
+
+
+def test_scoring_is_dealt_to_tasks_by_posts_times_items(corpus, monkeypatch):
+    post_rows, item_rows, posts, items, model = corpus
+    scores = brute(post_rows, item_rows)
+    monkeypatch.setattr(link, "TASK_CELLS", 100)
+    links = link.best_items(posts.coalesce(1), items, model)
+    assert links.rdd.getNumPartitions() >= 200 * 12 // 100 - 1
+    assert {r["post_id"]: r["item_id"] for r in links.collect()} == {
+        p: int(row.argmax()) for p, row in enumerate(scores) if row.max() > 0}
