@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from catalink.functions.text import phrase_key, phrase_words, prep_words, sub_sequences, term_runs
-from catalink.operators.joins import lookup_join
+from catalink.operators.joins import BROADCAST_ROWS, lookup_join, within
 from catalink.session import landed
 from catalink.operators.vectorize import hashed_bucket, hashed_idf
 from catalink.words import PHRASE_STOP_WORDS
 
+# Bits of the filter for each phrase; powers of two of its bits at least and at most, and in a slice.
+FILTER_BITS = 32
+LEAST_POWER, MOST_POWER, SLICE_POWER = 16, 30, 20
+
 
 def unique_words(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """Words that occur exactly once across all phrases."""
@@ -51,19 +57,65 @@ def phrase_candidates(text: Column, longest: int = 3) -> Column:
 
 
 def phrase_matches(posts: DataFrame, phrases: DataFrame, key: str = "post_id",
-                   text: str = "text", longest: int = 3, written: bool = False) -> DataFrame:
+                   text: str = "text", longest: int = 3, written: bool = False,
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(post, n_phrases): posts holding at least one dictionary phrase.
 
     ``written`` says that ``phrases`` is a written table of distinct phrases, as written_phrases
-    gives; it is then used as it stands, and the posts, each of which has a phrase once, are counted.
+    gives; it is then used as it stands. Of a dictionary too large to broadcast, a filter is shipped
+    first: only runs whose hash some phrase has are joined, which compares them exactly.
     """
-    runs = posts.select(key, F.explode(phrase_candidates(F.col(text), longest)).alias("phrase"))
-    known = phrases.select("phrase") if written else phrases.select("phrase").distinct()
-    hits = lookup_join(runs, known, "phrase", "left_semi", written=written, unique=written,
-                       most_left=posts.count() if written else None)
+    runs = posts.select(key, phrase_candidates(F.col(text), longest).alias("runs"))
+    known = phrases.select("phrase") if written else written_phrases(phrases)
+    if not within(known, broadcast_rows):
+        runs = landed(_maybe_known(runs, known), "runs")
+    runs = runs.select(key, F.explode("runs").alias("phrase"))
+    # each post has a phrase once
+    hits = lookup_join(runs, known, "phrase", "left_semi", broadcast_rows, written=True, unique=True,
+                       most_left=posts.count())
     return hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_phrases"))
 
 
+def _maybe_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with those of their ``runs`` whose hash some known phrase has: all that are known, and a
+    few others.
+
+    The filter has one bit for each hash: FILTER_BITS a phrase and 128 MB at most.
+    """
+    power = min(MOST_POWER, max(LEAST_POWER, (FILTER_BITS * known.count()).bit_length()))
+
+    def slot(phrase: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(phrase), 64 - power)
+
+    def bits(table: pa.Table) -> pa.Table:
+        part = np.zeros(1 << min(power, SLICE_POWER), np.uint8)
+        part[table["slot"].to_numpy() & (len(part) - 1)] = 1
+        return pa.table({"part": table["part"][:1],
+                         "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    slots = known.select(slot(F.col("phrase")).alias("slot")).select(
+        F.shiftright("slot", SLICE_POWER).cast("int").alias("part"), "slot")
+    held = np.zeros(1 << power - 3, np.uint8)
+    width = len(held) >> max(0, power - SLICE_POWER)
+    for row in slots.groupBy("part").applyInArrow(bits, "part int, bits binary").toLocalIterator():
+        held[row["part"] * width:(row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    shipped = rows.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf("array<int>")
+    def places(slots: pa.Array) -> pa.Array:
+        lengths = slots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = slots.flatten().to_numpy(zero_copy_only=False)
+        begin = np.cumsum(lengths) - lengths
+        hit = np.flatnonzero(shipped.value[flat >> 3] >> (flat & 7).astype(np.uint8) & 1)
+        row = np.searchsorted(begin + lengths, hit, side="right")
+        counts = np.bincount(row, minlength=len(lengths))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((hit - begin[row]).astype(np.int32)))
+
+    found = rows.withColumn("places", places(F.transform("runs", slot)))
+    return found.withColumn("runs", F.transform("places", lambda i: F.get("runs", i))).drop("places")
+
+
 def post_keywords(posts: DataFrame, key: str = "post_id", tokens: str = "tokens",
                   fraction: float = 0.2, buckets: int = 1 << 20) -> DataFrame:
     """(post, term, copies): the ``fraction`` of a post's tokens with the highest TF-IDF.

@@ -98,3 +98,18 @@ def test_sentiment_weights_sentences_by_length(one):
     mean = one(lambda c: sentiment.sentiment_mean(c, ["good"], ["bad"]), "good day. bad bad bad")
     assert mean == pytest.approx((8 * 3 + 11 * 0) / 19)
     assert one(sentiment.sentiment_mean, " .. ") == -1.0
+
+
+def test_a_large_phrase_dictionary_is_joined_with_runs_that_pass_a_filter_only(spark, monkeypatch):
+    from catalink.operators import keywords
+
+    posts = spark.createDataFrame(
+        [(i, f"alpha{i} beta gamma{i % 7} delta word{i} other{i}") for i in range(300)] + [(300, None), (301, "")],
+        "post_id long, text string")
+    phrases = spark.createDataFrame([("beta gamma3",), ("alpha5",), ("alpha9 beta gamma2",), ("none such",)], "phrase string")
+    joined, plain = [], keywords.lookup_join
+    monkeypatch.setattr(keywords, "lookup_join", lambda left, *a, **k: (joined.append(left.count()), plain(left, *a, **k))[1])
+    want = {(r["post_id"], r["n_phrases"]) for r in keywords.phrase_matches(posts, phrases).collect()}
+    got = {(r["post_id"], r["n_phrases"]) for r in keywords.phrase_matches(posts, phrases, broadcast_rows=0).collect()}
+    assert got == want and (5, 1) in got and len(got) == 45
+    assert joined[1] < joined[0] / 20
