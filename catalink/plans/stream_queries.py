@@ -14,15 +14,20 @@ from catalink.sources import readers
 from catalink.streaming import jobs
 
 EVENTS = "events.parquet"
+# Bytes of text in a landed file of posts, and batches the files are taken in.
+LANDED_BYTES, BATCHES = 64_000_000, 3
 
 
 def _collected(spark: SparkSession, sf_dir: str, per_set: int) -> str:
     """Run the collection over the posts landed as files; returns its output folder."""
     path = scratch_path(spark, "landed-posts")
-    tb.posts(spark, sf_dir).repartition(6).write.json(path)
+    posts = tb.posts(spark, sf_dir)
+    size = posts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(2, -(-size // (BATCHES * LANDED_BYTES)))
+    posts.repartition(BATCHES * files).write.json(path)
     phrases = landed(keywords.phrase_dictionary(tb.keyword_rows(spark, sf_dir)), "phrases")
     out = scratch_path(spark, "collected")
-    stream = readers.stream_posts(spark, path, files_per_batch=2)
+    stream = readers.stream_posts(spark, path, files_per_batch=files)
     jobs.drain(jobs.collect(stream, phrases, out, scratch_path(spark, "progress"),
                             per_set=per_set, interval=None))
     return out

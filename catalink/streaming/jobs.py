@@ -14,6 +14,8 @@ from catalink.operators.sentiment import sentiment_mean, sentiment_score
 
 BATCHES_PER_FILE_SET = 60
 ROWS_PER_FILE = 5_000_000
+# Bytes of lines in a merged file, so that no task writes more, however long the texts are.
+BYTES_PER_FILE = 128_000_000
 # Parts of window states that are merged into one.
 STATES_PER_LEVEL = 16
 
@@ -65,7 +67,7 @@ def part_path(out: str, batch_id: int) -> str:
 
 
 def compact(spark: SparkSession, out: str, file_set: int, per_set: int, schema,
-            rows_per_file: int = ROWS_PER_FILE) -> bool:
+            rows_per_file: int = ROWS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> bool:
     """Merge the parts of one file set into one folder, then retire them.
 
     Parts are removed only after the merged folder was committed. When it already was, a
@@ -78,7 +80,8 @@ def compact(spark: SparkSession, out: str, file_set: int, per_set: int, schema,
         if not parts:
             return False
         rows = spark.read.schema(schema).json(parts)
-        files = max(1, -(-rows.count() // rows_per_file))
+        size = sum(_size(spark, p) for p in parts)
+        files = max(1, -(-rows.count() // rows_per_file), -(-size // bytes_per_file))
         rows.repartition(files).write.mode("overwrite").json(merged)
     for part in parts:
         _remove(spark, part)
@@ -95,6 +98,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    target, files = _hadoop_path(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target, files = _hadoop_path(spark, path)
     files.delete(target, True)

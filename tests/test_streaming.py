@@ -162,3 +162,26 @@ def test_programs_run_end_to_end(spark, tmp_path):
     assert got["accuracy"] == 1.0 and got["n_links"] == 80
     programs.export_store_links(spark, str(tmp_path / "posts"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
+
+
+def test_merged_files_are_bounded_by_bytes(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.range(40).selectExpr("id", "repeat('word ', 500) AS text")
+    rows.repartition(4).write.json(jobs.part_path(out, 0))
+    assert jobs.compact(spark, out, 0, 1, rows.schema, bytes_per_file=20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "out/data/set_000000").glob("part-*")]
+    assert len(sizes) >= 5 and max(sizes) < 40_000
+    assert spark.read.schema(rows.schema).json(f"{out}/data/set_000000").count() == 40
+
+
+def test_posts_land_in_files_of_bounded_size_and_three_batches(spark, tmp_path, monkeypatch):
+    from catalink.plans import stream_queries
+
+    taken, plain = [], stream_queries.readers.stream_posts
+    monkeypatch.setattr(stream_queries, "LANDED_BYTES", 30_000)
+    monkeypatch.setattr(stream_queries.readers, "stream_posts", lambda spark, path, files_per_batch: (
+        taken.append((len(spark.read.text(path).inputFiles()), files_per_batch)),
+        plain(spark, path, files_per_batch=files_per_batch))[1])
+    stream_queries._collected(spark, "/root/testdata/sf0.001", per_set=2)
+    files, batch = taken[0]
+    assert files > 6 and files == 3 * batch
