@@ -65,11 +65,14 @@ def phrase_matches(posts: DataFrame, phrases: DataFrame, key: str = "post_id",
     gives; it is then used as it stands. Of a dictionary too large to broadcast, a filter is shipped
     first: only runs whose hash some phrase has are joined, which compares them exactly.
     """
-    runs = posts.select(key, phrase_candidates(F.col(text), longest).alias("runs"))
+    candidates = phrase_candidates(F.col(text), longest)
     known = phrases.select("phrase") if written else written_phrases(phrases)
-    if not within(known, broadcast_rows):
-        runs = landed(_maybe_known(runs, known), "runs")
-    runs = runs.select(key, F.explode("runs").alias("phrase"))
+    if within(known, broadcast_rows):
+        # exploded as it stands: a column of its own would be worked out twice, for a filter on its size
+        runs = posts.select(key, F.explode(candidates).alias("phrase"))
+    else:
+        runs = landed(_maybe_known(posts.select(key, candidates.alias("runs")), known), "runs").select(
+            key, F.explode("runs").alias("phrase"))
     # each post has a phrase once
     hits = lookup_join(runs, known, "phrase", "left_semi", broadcast_rows, written=True, unique=True,
                        most_left=posts.count())
