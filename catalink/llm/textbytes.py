@@ -39,14 +39,15 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, **more: Column) ->
                        *[column.alias(name) for name, column in more.items()])
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of the batches with about SLICE_BYTES of text each."""
+def byte_slices(batches: Iterator[pa.RecordBatch],
+                size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stretches of the batches with about `size` bytes of text each."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            upto = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
 

@@ -16,7 +16,7 @@ import json
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +29,20 @@ from tokenizers import Tokenizer
 
 from catalink.llm.planes import PlaneReader, PlaneWriter
 from catalink.llm.pretokens import shared
-from catalink.llm.textbytes import (LOWER, SLICE_BYTES, byte_slices, id_and_bytes, joined)
+from catalink.llm.textbytes import LOWER, byte_slices, id_and_bytes, joined
 from catalink.operators.ordered import running_sums
 from catalink.session import landed, scratch_path
 
 #: Bytes of text in a range of documents, ids in a file and in a run of documents read together.
 PART_BYTES, FILE_IDS, RUN_IDS = 64 << 20, 1 << 25, 1 << 20
+#: Bytes of text encoded at a time; a task holds some twenty times as much beside its batch.
+SLICE_BYTES = 1 << 20
 #: Sections of a file and the widths of their numbers: ids, document ids, whether those are null,
 #: ids of each document.
 IDS, KEYS, NULLS, LENGTHS = range(4)
 WIDTHS = (4, 8, 1, 8)
 #: Longest piece whose ids are remembered, pieces remembered, pieces given to the library together.
-LONG, REMEMBERED, TOGETHER = 64, 200_000, 1024
+LONG, REMEMBERED, TOGETHER = 64, 400_000, 1024
 
 # The steps of a tokenizer file for which the cuts below hold.
 _NORMAL = ["NFC", "Replace", "Lowercase"]
@@ -112,9 +114,9 @@ class PieceEncoder:
             new = first[at:end].copy()
             new[0] = True
             new[1:] |= _CUT[kind[:-1], kind[1:]]
-            starts = np.flatnonzero(new)
-            ids, counts = self._pieces(LOWER[data[at:end]], starts)
-            owner = np.searchsorted(bounds, starts + at, side="right") - 1
+            held = kind != _BLANK  # blanks have no ids
+            ids, counts = self._pieces(LOWER[data[at:end][held]], np.flatnonzero(new[held]))
+            owner = np.searchsorted(bounds, np.flatnonzero(new & held) + at, side="right") - 1
             lengths += np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
             parts.append(ids)
             at = end
@@ -136,11 +138,17 @@ class PieceEncoder:
         bounds = np.append(starts, len(data)).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [
             None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        _, ends, held = coded.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist()
+        held = b"" if held is None else held.to_pybytes()
+        distinct = [held[a:b] for a, b in pairwise(ends)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        own = dict(self._encoded([p for p in distinct if p not in self.known]))
-        ids = [own[p] if p in own else self.known[p] for p in distinct]
+        ids = list(map(self.known.get, distinct))
+        new = [i for i, x in enumerate(ids) if x is None]
+        own = dict(self._encoded([distinct[i] for i in new]))
+        for i in new:
+            ids[i] = own[distinct[i]]
         self.known.update((p, x) for p, x in own.items() if len(p) <= LONG)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
@@ -195,7 +203,7 @@ def write_ids(docs: DataFrame, model_path: str, end: int, folder: str | None = N
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out = TaskContext.get().partitionId(), 0, None
         encoder = PieceEncoder(library.value)
-        for piece in byte_slices(batches):
+        for piece in byte_slices(batches, SLICE_BYTES):
             if out is None:
                 out = TokenFile(folder, part, number, bits)
             ids, lengths = with_end(*encoder.encode(piece.column("text")), end)

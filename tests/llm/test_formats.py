@@ -288,3 +288,24 @@ def test_very_long_features_and_texts(spark):
     target = spark.createDataFrame([("ab ab",)], "text string")
     got = importance.resample(docs, target, percent=50).collect()
     assert Counter(map(tuple, got)) == Counter(plain_resample(rows, ["ab ab"], percent=50))
+
+
+def test_encoding_holds_little_beside_its_slice():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from catalink.llm.textbytes import byte_slices
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(500)]
+    texts = pa.array([" ".join(rng.choices(words, k=2000)).encode() for _ in range(600)], pa.binary())
+    batch = pa.record_batch([pa.array(range(600)), texts], ["doc_id", "text"])
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as model:
+        encoder = token_files.PieceEncoder(model.read())
+    tracemalloc.start()
+    for piece in byte_slices([batch], token_files.SLICE_BYTES):
+        encoder.encode(piece.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
