@@ -58,7 +58,36 @@ def token_tables(ranks: dict[bytes, int]) -> dict:
             halves[rank] = (ranks[parts[0]], ranks[parts[1]])
             used[token] = rank
     return {"ranks": ranks, "used": used, "halves": halves, "ends": lengths_by_end(used),
-            "tokens": {rank: token for token, rank in ranks.items()}}
+            **automaton(used), "tokens": {rank: token for token, rank in ranks.items()}}
+
+
+def automaton(used: dict[bytes, int]) -> dict:
+    """Tries of tokens: moves by state and byte, the state of the longest proper suffix of each
+    state, and the tokens that end in it with their lengths, longest first."""
+    trie: dict[int, int] = {}
+    own: dict[int, tuple[int, int]] = {}
+    for token, rank in used.items():
+        state = 0
+        for byte in token:
+            state = trie.setdefault(state << 8 | byte, len(trie) + 1)
+        own[state] = (rank, len(token))
+    fails, endings = [0] * (len(trie) + 1), [()] * (len(trie) + 1)
+    below: dict[int, list[int]] = {}
+    for move in trie:
+        below.setdefault(move >> 8, []).append(move)
+    level = [0]
+    while level:  # level by level, so that suffixes are known
+        following = []
+        for parent in level:
+            for move in below.get(parent, ()):
+                state, at = trie[move], fails[parent]
+                while at and (at << 8 | move & 255) not in trie:
+                    at = fails[at]
+                fails[state] = trie.get(at << 8 | move & 255, 0) if parent else 0
+                endings[state] = (*([own[state]] if state in own else ()), *endings[fails[state]])
+                following.append(state)
+        level = following
+    return {"trie": trie, "fails": fails, "endings": endings}
 
 
 class PrefixEncoder:
@@ -69,6 +98,7 @@ class PrefixEncoder:
         self.last: dict[bytes, int] = {}
         self.long, self.long_last = b"", array("i")
         self.borders: dict[tuple[int, int], bool] = {}
+        self.moves: dict[int, int] = {}
 
     def keeps_border(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives back exactly these two.
@@ -132,6 +162,63 @@ class PrefixEncoder:
             at -= len(self.tokens[token])
         return out[::-1]
 
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Encodings of pre-tokens in ascending order.
+
+        A table of last tokens by position goes from one to the next, which begins with the prefix
+        that both share.
+        """
+        whole, tokens, borders = self.ranks.get, self.tokens, self.borders
+        moves, endings = self.moves, self.endings
+        before, last, states = b"", [-1], [0]
+        for piece in pieces:
+            known = whole(piece)
+            if known is not None:
+                yield [known]
+                continue
+            size = len(piece)
+            if size > LONG:
+                yield self.encode_long(piece)
+                continue
+            same = 0
+            for a, b in zip(piece, before):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1:], states[same + 1:]
+            state = states[same]
+            for i, byte in enumerate(piece[same:], same + 1):
+                move = state << 8 | byte
+                state = moves.get(move)
+                if state is None:
+                    state = self.follow(move)
+                for found, n in endings[state]:  # the last of them is the byte alone
+                    if n == i:
+                        break
+                    keeps = borders.get((last[i - n], found))
+                    if self.keeps_border(last[i - n], found) if keeps is None else keeps:
+                        break
+                last.append(found)
+                states.append(state)
+            before = piece
+            out, at = [], size
+            while at:
+                token = last[at]
+                out.append(token)
+                at -= len(tokens[token])
+            out.reverse()
+            yield out
+
+    def follow(self, move: int) -> int:
+        """State of the automaton of tokens after a move (state and byte), which is remembered."""
+        state, byte = move >> 8, move & 255
+        while state and (state << 8 | byte) not in self.trie:
+            state = self.fails[state]
+        if len(self.moves) > 2 * REMEMBERED:
+            self.moves.clear()
+        self.moves[move] = found = self.trie.get(state << 8 | byte, 0)
+        return found
+
     def encode_long(self, piece: bytes) -> list[int]:
         """The same by positions: entry i is the last token of the first i bytes."""
         used, ends, size = self.used, self.ends, len(piece)
@@ -183,28 +270,23 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, split = PrefixEncoder(tables.value), splitter(pattern)
         words: dict[str, tuple[int, ...]] = {}
-
-        class Known(dict):
-            def __missing__(self, word):
-                ids = tuple(encoder.encode(word.encode()))
-                if len(word) <= LONG:
-                    self[word] = ids
-                return ids
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                ids = tuple(chain.from_iterable(map(words.__getitem__, split(piece))))
-                if len(piece) < LONG:
-                    self[piece] = ids
-                return ids
-
-        words, seen = Known(), Pieces()
+        seen: dict[str, tuple[int, ...]] = {}
         for ids, texts in slices(batches):
             if len(words) > REMEMBERED:
                 words.clear()
             if len(seen) > REMEMBERED:
                 seen.clear()
-            encoded = [list(chain.from_iterable(map(seen.__getitem__, pieces(t)))) for t in texts]
+            cut = [pieces(t) for t in texts]
+            new = {p: (p,) if p.isascii() and p[0] == " " and p[1:].isalpha() else split(p)
+                   for p in set(chain.from_iterable(cut)).difference(seen)}
+            fresh = sorted(w.encode() for w in set(chain.from_iterable(new.values())).difference(words))
+            words.update(zip([w.decode() for w in fresh], map(tuple, encoder.encode_sorted(fresh))))
+            seen.update((p, tuple(chain.from_iterable(map(words.__getitem__, w))))
+                        for p, w in new.items())
+            encoded = [list(chain.from_iterable(map(seen.__getitem__, c))) for c in cut]
+            for known, one in ((words, fresh), (seen, new)):
+                for long in [p for p in one if len(p) > LONG]:
+                    known.pop(long if known is seen else long.decode(), None)
             yield pa.record_batch([
                 ids, pa.array(encoded, pa.list_(pa.int32())),
                 pa.array([decode(x, encoder.tokens) for x in encoded], pa.binary())],
@@ -215,7 +297,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 def digests(encoded: DataFrame) -> DataFrame:
     """Counts and digests of encoded documents."""
-    ids = F.translate(F.col("ids").cast("string"), "[] ", "")
+    ids = F.replace(F.btrim(F.col("ids").cast("string"), F.lit("[]")), F.lit(", "), F.lit(","))
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -129,3 +129,12 @@ def test_a_very_long_pretoken_takes_little_memory():
     for size in (10, 63, 64, 65, 66, 200, 900):
         some = word[1000:1000 + size]
         assert plain.insert(some) == best(some)
+
+
+def test_sorted_pre_tokens_equal_the_library():
+    own, rng = library(), random.Random(4)
+    words = {"".join(rng.choices("abeinrst é中'1", k=rng.randint(1, 90))) for _ in range(400)}
+    encoder = bpe.PrefixEncoder(bpe.token_tables(pretokens.read_ranks(RANKS)))
+    ordered = sorted(w.encode() for w in words)
+    got = list(encoder.encode_sorted(ordered))
+    assert got == [own._encode_single_piece(w) for w in ordered]
