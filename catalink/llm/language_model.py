@@ -278,18 +278,21 @@ class Trainer:
 
     def step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
         """rows: one line of row numbers for each feature; all get the same gradient."""
-        table = self.w[name]
+        table, square = self.w[name], self.square[name]
         width = table.shape[1]
-        total = np.zeros(table.size)
+        met = sum(np.bincount(r, minlength=len(table)) for r in rows)
+        self.met[name] += met
+        own = np.flatnonzero(met)  # sums are made for these rows alone
+        place = np.zeros(len(table), np.int64)
+        place[own] = np.arange(len(own)) * width
+        weights, total = gradient.ravel(), np.zeros(len(own) * width)
         for r in rows:
-            cells = (r.astype(np.int64)[:, None] * width + np.arange(width)).ravel()
-            total += np.bincount(cells, weights=gradient.ravel(), minlength=table.size)
-            self.met[name] += np.bincount(r, minlength=len(table))
-        found = np.flatnonzero(total)
-        g = total[found].astype(np.float32)
-        square = self.square[name].reshape(-1)
-        square[found] += g * g
-        table.reshape(-1)[found] -= STEP * g / np.sqrt(square[found])
+            cells = (place[r][:, None] + np.arange(width)).ravel()
+            total += np.bincount(cells, weights=weights, minlength=len(total))
+        g = total.astype(np.float32).reshape(-1, width)
+        squares = square[own] + g * g
+        square[own] = squares
+        table[own] -= STEP * g / np.sqrt(squares)
 
     def learn(self, row: dict) -> None:
         walk = Walk(row, True)

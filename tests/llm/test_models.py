@@ -419,3 +419,22 @@ def test_shared_values_need_no_package_on_executors(tmp_path):
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
                          env={"PATH": "/usr/bin:/bin"}, timeout=60)
     assert run.stdout.split()[:2] == ["en", "2"], run.stderr
+
+
+def test_a_step_makes_sums_for_the_rows_it_meets():
+    import tracemalloc
+
+    name, rows = "class_rows", np.array([[1, 5, 1], [5, 9, 40]], np.uint32)
+    tables = {name: np.zeros((1 << language_model.ROW_BITS, language_model.CLASSES), np.float32)}
+    trainer = language_model.Trainer(tables)
+    slope = np.arange(3 * language_model.CLASSES, dtype=np.float32).reshape(3, -1) + 1
+    tracemalloc.start()
+    trainer.step(name, rows, slope)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20
+    want = {1: slope[0] + slope[2], 5: slope[1] + slope[0], 9: slope[1], 40: slope[2]}
+    assert set(np.flatnonzero(trainer.w[name].any(axis=1))) == set(want)
+    for row, g in want.items():
+        assert np.allclose(trainer.w[name][row], -language_model.STEP * g / np.sqrt(1 + g * g))
+    assert {r: int(n) for r, n in enumerate(trainer.met[name]) if n} == {1: 2, 5: 2, 9: 1, 40: 1}
