@@ -287,3 +287,31 @@ def test_scoring_is_dealt_to_tasks_by_posts_times_items(corpus, monkeypatch):
     assert links.rdd.getNumPartitions() >= 200 * 12 // 100 - 1
     assert {r["post_id"]: r["item_id"] for r in links.collect()} == {
         p: int(row.argmax()) for p, row in enumerate(scores) if row.max() > 0}
+
+
+def test_lengths_are_worked_out_for_possible_posts_only(corpus, monkeypatch):
+    post_rows, item_rows, posts, items, model = corpus
+    monkeypatch.setattr(link, "INDEX_TERMS", 5)
+    seen, plain = {}, link.landed
+
+    def landed(df, label):
+        seen[label] = plain(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(link, "landed", landed)
+    links = link.best_items(posts, items, model, threshold=0.7).count()
+    assert links <= seen["possible-posts"].count() < len(post_rows)
+
+
+def test_the_index_holds_terms_in_one_buffer_and_batches_are_cut(corpus, monkeypatch):
+    import pyarrow as pa
+
+    from catalink.operators import vectorize
+
+    _, _, posts, items, model = corpus
+    index = link._shipped_index(items, "item_id", model, 0, link.INDEX_ENTRIES)[0].value
+    assert isinstance(index.terms, pa.Array) and len(index.terms) == model.size
+    monkeypatch.setattr(vectorize, "PART_TERMS", 10)
+    runs = pa.array([[{"term": "a", "tf": 1}] * n for n in (4, 5, 30, 0, 10, 1)] + [None])
+    parts = list(vectorize.run_parts([pa.record_batch([runs], ["runs"])]))
+    assert [p.num_rows for p in parts] == [2, 1, 2, 2] and sum(p.num_rows for p in parts) == 7
