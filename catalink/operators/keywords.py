@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from catalink.functions.text import phrase_key, phrase_words, prep_words, sub_sequences, term_runs
 from catalink.operators.joins import BROADCAST_ROWS, lookup_join, within
 from catalink.session import landed
-from catalink.operators.vectorize import hashed_bucket, hashed_idf
+from catalink.operators.vectorize import hashed_bucket, hashed_idf, run_parts
 from catalink.words import PHRASE_STOP_WORDS
 
 # Bits of the filter for each phrase; powers of two of its bits at least and at most, and in a slice.
@@ -123,23 +126,49 @@ def post_keywords(posts: DataFrame, key: str = "post_id", tokens: str = "tokens"
                   fraction: float = 0.2, buckets: int = 1 << 20) -> DataFrame:
     """(post, term, copies): the ``fraction`` of a post's tokens with the highest TF-IDF.
 
-    Weights are hashed, so at most ``buckets`` frequencies are broadcast. A token that
-    occurs several times counts once per occurrence; ties go to the smaller term.
+    Weights are hashed, so at most ``buckets`` frequencies are shipped. A token that
+    occurs several times counts once per occurrence; ties go to the smaller term. Rows of one post
+    are taken together. A post's terms travel in one row; tasks pick from them.
     """
-    runs = posts.select(key, F.size(tokens).alias("n_tokens"), F.inline(term_runs(F.col(tokens))))
-    runs = runs.withColumn("bucket", hashed_bucket(F.col("term"), buckets))
-    frequency = hashed_idf(posts, tokens, buckets)
-    in_post = W.partitionBy(key)
-    # Both windows hash by post, so they share one shuffle; a group is one post's terms.
-    weighted = runs.join(F.broadcast(frequency), "bucket").withColumn(
-        "weight", F.round(F.sum("tf").over(W.partitionBy(key, "bucket")) * F.col("idf"), 9))
-    ordered = in_post.orderBy(F.desc("weight"), "term")
-    before = F.sum("tf").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tf")
-    budget = F.floor(F.col("n_tokens") * F.lit(fraction))
-    return (
-        weighted.withColumn("copies", F.least(F.col("tf").cast("long"), budget - before))
-        .where(F.col("copies") > 0).select(key, "term", "copies")
-    )
+    counted = F.transform(term_runs(F.col(tokens)), lambda r: F.struct(
+        r["term"].alias("term"), r["tf"].cast("long").alias("tf"),
+        hashed_bucket(r["term"], buckets).alias("bucket")))
+    rows = posts.select(key, F.struct(F.size(tokens).alias("n_tokens"), counted.alias("runs")).alias("row"))
+    rows = rows.groupBy(key).agg(F.collect_list("row").alias("rows")).select(key, F.flatten(F.transform(
+        "rows", lambda row: F.transform(row["runs"], lambda r: F.struct(
+            r["term"].alias("term"), r["tf"].alias("tf"), r["bucket"].alias("bucket"),
+            row["n_tokens"].alias("n_tokens"))))).alias("runs"))
+    idf = np.zeros(buckets)
+    found = hashed_idf(posts, tokens, buckets).toArrow()
+    idf[found["bucket"].to_numpy()] = found["idf"].to_numpy()
+    shipped = posts.sparkSession.sparkContext.broadcast(idf)
+    schema = T.StructType([posts.schema[key], T.StructField("term", T.StringType()),
+                           T.StructField("copies", T.LongType())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run_parts(batches):
+            runs = batch.column("runs")
+            lengths = pc.fill_null(runs.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(runs)), lengths)
+            runs = runs.flatten()
+            tf, bucket, n_tokens = (runs.field(i).to_numpy() for i in (1, 2, 3))
+            _, own = np.unique(row * np.int64(buckets) + bucket, return_inverse=True)
+            weight = np.round(np.bincount(own, weights=tf)[own] * shipped.value[bucket], 9)
+            coded = runs.field(0).dictionary_encode()
+            place = np.empty(len(coded.dictionary), np.int64)
+            place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+            order = np.lexsort((place[coded.indices.to_numpy()], -weight, row))
+            tf, row = tf[order], row[order]
+            before = np.cumsum(tf) - tf
+            before -= before[np.searchsorted(row, row)]
+            budget = np.floor(n_tokens[order] * fraction).astype(np.int64)
+            copies = np.minimum(tf, budget - before)
+            kept = np.flatnonzero(copies > 0)
+            yield pa.record_batch([
+                batch.column(key).take(pa.array(row[kept])),
+                runs.field(0).take(pa.array(order[kept])), pa.array(copies[kept])], schema.names)
+
+    return rows.mapInArrow(pick, schema)
 
 
 def token_app_matches(keywords: DataFrame, apps: DataFrame, key: str = "post_id",
