@@ -74,6 +74,13 @@ class Shared:
     def value(self):
         return cloudpickle.loads(self._packed.value)
 
+    @property
+    def kept(self):
+        """The value, one for all tasks of a worker; what a task remembers in it serves the next."""
+        if not hasattr(self._packed, "unpacked"):  # a worker holds one Broadcast for all its tasks
+            self._packed.unpacked = self.value
+        return self._packed.unpacked
+
 
 def shared(spark: SparkSession, value) -> Shared:
     return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))

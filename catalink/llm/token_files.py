@@ -13,6 +13,7 @@ normaliser leaves as they are, go straight to the library's model.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -85,10 +86,13 @@ class PieceEncoder:
         split = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         if normal != _NORMAL or split.get("pattern", {}).get("Regex") != _PATTERN:
             raise ValueError("the cuts between pieces do not fit this tokenizer file")
-        self.library = Tokenizer.from_str(model)
+        self.model, self.library = model, Tokenizer.from_str(model)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
 
+    def __reduce__(self):
+        return PieceEncoder, (self.model,)
+
     def _encoded(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Pieces and their ids as bytes of unsigned 32-bit numbers."""
         model, plain, rest = self.library.model, [], []
@@ -191,7 +195,7 @@ def write_ids(docs: DataFrame, model_path: str, end: int, folder: str | None = N
     if not isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
         raise ValueError("ids of documents must be whole numbers")
     with open(model_path, encoding="utf-8") as model:
-        library = shared(spark, model.read())
+        library = shared(spark, PieceEncoder(model.read()))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))
     order = [F.asc_nulls_last("doc_id"), F.asc("tie"), F.asc("row")]
@@ -201,8 +205,9 @@ def write_ids(docs: DataFrame, model_path: str, end: int, folder: str | None = N
             parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads keep memory
         part, number, out = TaskContext.get().partitionId(), 0, None
-        encoder = PieceEncoder(library.value)
+        encoder = library.kept  # one for all tasks of a worker, since a new one each leaves memory behind
         for piece in byte_slices(batches, SLICE_BYTES):
             if out is None:
                 out = TokenFile(folder, part, number, bits)

@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from catalink.llm import fill_middle, importance, planes, token_files
+from catalink.llm import fill_middle, importance, planes, pretokens, token_files
 
 MODEL = public_tokenizers.path("word_bpe_49k.json")
 NAMES = ["`__id`", "a.b", "text", "row", "tie", "part", "h0", "form", "n", "output", "bucket", "x y"]
@@ -309,3 +309,16 @@ def test_encoding_holds_little_beside_its_slice():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 32 << 20
+
+
+def test_a_worker_keeps_its_encoder(spark):
+    """Each new library left some megabytes behind, over a worker's tasks more than its share."""
+    held = pretokens.shared(spark, token_files.PieceEncoder(open(MODEL, encoding="utf-8").read()))
+
+    def one(rows):
+        encoder = held.kept
+        encoder.tasks = getattr(encoder, "tasks", 0) + 1
+        yield encoder.tasks, len(encoder.encode(token_files.pa.array([b"some words"]))[0])
+
+    found = spark.sparkContext.parallelize(range(40), 40).mapPartitions(one).collect()
+    assert max(tasks for tasks, _ in found) > 1 and {n for _, n in found} == {2}
