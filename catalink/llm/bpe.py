@@ -19,14 +19,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalink.llm.pretokens import (id_and_text, lengths_by_end, pieces, read_ranks, shared,
-                                    slices, splitter)
+from catalink.llm.pretokens import lengths_by_end, read_ranks, shared, splitter
+from catalink.llm.textbytes import byte_slices, id_and_bytes, joined
 
 #: Longest pre-token, in bytes, whose prefixes or ids are remembered by their text; longest one
 #: whose array is kept for the next.
 LONG, LONG_KEPT = 64, 1 << 20
-#: Pre-tokens and pieces remembered by a task, and half the prefixes and borders.
+#: Pre-tokens and pieces remembered by a worker, and half the prefixes and borders.
 REMEMBERED = 200_000
+#: Short pre-tokens encoded together.
+TOGETHER = 16_384
+
+
+# Fixed value: the pattern for which the cuts below hold; texts stay whole under another one.
+PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+# Classes of bytes: part of a character that may be anything, blank, other white space, letter,
+# digit, sign, apostrophe, part of a character of two bytes that is not white (U+00C0 to U+07FF).
+_ANY, _BLANK, _WHITE, _LETTER, _DIGIT, _SIGN, _QUOTE, _TWO = range(8)
+_CLASS = np.full(256, _ANY, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[[9, 10, 11, 12, 13]] = _WHITE
+_CLASS[32], _CLASS[39] = _BLANK, _QUOTE
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[0xC3:0xE0] = _TWO
+
+# Whether a pre-token always ends between two classes: before white space, which may only begin one,
+# and where letters, digits and signs meet, but not after an apostrophe, which may begin a contraction.
+_CUT = np.zeros((8, 8), bool)
+_CUT[_LETTER:, [_BLANK, _WHITE]] = True
+_CUT[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = _CUT[_DIGIT, [_LETTER, _SIGN, _QUOTE]] = True
+_CUT[_SIGN, [_LETTER, _DIGIT]] = True
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a byte of UTF-8 surely begins a pre-token of PATTERN; others may begin one too."""
+    kind = _CLASS[data]
+    kind[1:][kind[:-1] == _TWO] = _TWO
+    out = np.zeros(len(data), bool)
+    out[1:] = _CUT[kind[:-1], kind[1:]]
+    # white space that stands alone and is no blank; the end of a piece would split a run otherwise
+    out[2:] |= (kind[:-2] >= _LETTER) & (kind[1:-1] == _WHITE) & (kind[2:] >= _LETTER)
+    return out
 
 
 def merge_all(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
@@ -87,7 +122,17 @@ def automaton(used: dict[bytes, int]) -> dict:
                 endings[state] = (*([own[state]] if state in own else ()), *endings[fails[state]])
                 following.append(state)
         level = following
-    return {"trie": trie, "fails": fails, "endings": endings}
+    moves = np.array(sorted(trie.items()), np.int64).reshape(-1, 2)
+    return {"moves": moves[:, 0].copy(), "reached": moves[:, 1].copy(), "fails": np.array(fails, np.int64),
+            "endings": np.array([x for e in endings for x in e], np.int32).reshape(-1, 2).T.copy(),
+            "first_ending": np.cumsum([0, *map(len, endings)])}
+
+
+def places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers of the entries of stretches, one stretch after the other."""
+    out = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    out += np.arange(len(out))
+    return out
 
 
 class PrefixEncoder:
@@ -98,7 +143,8 @@ class PrefixEncoder:
         self.last: dict[bytes, int] = {}
         self.long, self.long_last = b"", array("i")
         self.borders: dict[tuple[int, int], bool] = {}
-        self.moves: dict[int, int] = {}
+        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        self.sizes[list(self.tokens)] = list(map(len, self.tokens.values()))
 
     def keeps_border(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives back exactly these two.
@@ -163,61 +209,99 @@ class PrefixEncoder:
         return out[::-1]
 
     def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
-        """Encodings of pre-tokens in ascending order.
-
-        A table of last tokens by position goes from one to the next, which begins with the prefix
-        that both share.
-        """
-        whole, tokens, borders = self.ranks.get, self.tokens, self.borders
-        moves, endings = self.moves, self.endings
-        before, last, states = b"", [-1], [0]
-        for piece in pieces:
-            known = whole(piece)
-            if known is not None:
-                yield [known]
-                continue
-            size = len(piece)
-            if size > LONG:
-                yield self.encode_long(piece)
-                continue
-            same = 0
-            for a, b in zip(piece, before):
-                if a != b:
-                    break
-                same += 1
-            del last[same + 1:], states[same + 1:]
-            state = states[same]
-            for i, byte in enumerate(piece[same:], same + 1):
-                move = state << 8 | byte
-                state = moves.get(move)
-                if state is None:
-                    state = self.follow(move)
-                for found, n in endings[state]:  # the last of them is the byte alone
-                    if n == i:
-                        break
-                    keeps = borders.get((last[i - n], found))
-                    if self.keeps_border(last[i - n], found) if keeps is None else keeps:
-                        break
-                last.append(found)
-                states.append(state)
-            before = piece
-            out, at = [], size
-            while at:
-                token = last[at]
-                out.append(token)
-                at -= len(tokens[token])
-            out.reverse()
-            yield out
-
-    def follow(self, move: int) -> int:
-        """State of the automaton of tokens after a move (state and byte), which is remembered."""
-        state, byte = move >> 8, move & 255
-        while state and (state << 8 | byte) not in self.trie:
-            state = self.fails[state]
-        if len(self.moves) > 2 * REMEMBERED:
-            self.moves.clear()
-        self.moves[move] = found = self.trie.get(state << 8 | byte, 0)
-        return found
+        """Encodings of pre-tokens in ascending order."""
+        ids, counts = self.encode_together(pieces)
+        ends = np.cumsum(counts)
+        return (ids[a:b].tolist() for a, b in zip(ends - counts, ends))
+
+    def encode_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens in ascending order, all in a row, and the number of each's."""
+        whole = np.array([-1 if r is None else r for r in map(self.ranks.get, pieces)], np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        counts = np.ones(len(pieces), np.int64)
+        parts = []
+        short = np.flatnonzero((whole < 0) & (sizes <= LONG))
+        for at in range(0, len(short), TOGETHER):
+            own = short[at:at + TOGETHER]
+            ids, counts[own] = self._by_position([pieces[i] for i in own], sizes[own])
+            parts.append((own, ids))
+        for i in np.flatnonzero((whole < 0) & (sizes > LONG)):
+            ids = np.array(self.encode_long(pieces[i]), np.int32)
+            counts[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        starts = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.int32)
+        known = whole >= 0
+        out[starts[known]] = whole[known]
+        for own, ids in parts:
+            out[places(starts[own], counts[own])] = ids
+        return out, counts
+
+    def _by_position(self, pieces: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a few short ones, position by position: row i of a table holds the last tokens
+        of their first i bytes. What a pre-token shares with the one before is taken from there."""
+        n, longest = len(pieces), int(sizes.max())
+        data = np.zeros((n, longest), np.uint8)
+        data[np.arange(longest) < sizes[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        differ = data[1:] != data[:-1]
+        same = np.zeros(n, np.int64)
+        same[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), longest),
+                              np.minimum(sizes[1:], sizes[:-1]))
+        data = np.ascontiguousarray(data.T)
+        last = np.full((longest + 1, n), -1, np.int32)
+        state, line = np.zeros(n, np.int64), np.arange(n)
+        for i in range(1, longest + 1):
+            new = np.flatnonzero((same < i) & (sizes >= i))
+            state[new] = self._moved(state[new], data[i - 1, new])
+            last[i, new] = self._last_tokens(state[new], last, new, i)
+            owner = np.zeros(n, np.int64)
+            owner[new] = new
+            np.maximum.accumulate(owner, out=owner)
+            state, last[i] = state[owner], last[i, owner]
+        out, at = [], sizes.copy()
+        while len(line):
+            token = last[at[line], line]
+            out.append((line, token))
+            at[line] -= self.sizes[token]
+            line = line[at[line] > 0]
+        lines, tokens = (np.concatenate(x) for x in zip(*reversed(out)))
+        order = np.argsort(lines, kind="stable")
+        return tokens[order], np.bincount(lines, minlength=n)
+
+    def _moved(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """States of the automaton of tokens after one more byte each."""
+        out, left, state = np.zeros(len(states), np.int64), np.arange(len(states)), states.copy()
+        while len(left):
+            move = state[left] << 8 | data[left]
+            at = np.minimum(np.searchsorted(self.moves, move), len(self.moves) - 1)
+            found = self.moves[at] == move
+            out[left[found]] = self.reached[at[found]]
+            left = left[~found & (state[left] > 0)]
+            state[left] = self.fails[state[left]]
+        return out
+
+    def _last_tokens(self, states: np.ndarray, last: np.ndarray, own: np.ndarray,
+                     i: int) -> np.ndarray:
+        """Last tokens of prefixes of i bytes, which are in these states of the automaton."""
+        out, left = np.zeros(len(states), np.int32), np.arange(len(states))
+        at, end = self.first_ending[states], self.first_ending[states + 1] - 1
+        while len(left):
+            found, size = self.endings[:, at[left]]
+            keeps = (size == i) | (at[left] == end[left])  # the last of them is the byte alone
+            rest = np.flatnonzero(~keeps)
+            if len(rest):
+                keeps[rest] = self._keep_borders(last[i - size[rest], own[left[rest]]], found[rest])
+            out[left[keeps]] = found[keeps]
+            left = left[~keeps]
+            at[left] += 1
+        return out
+
+    def _keep_borders(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs, which = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
+        held = list(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()))
+        known = list(map(self.borders.get, held))
+        return np.array([self.keeps_border(*p) if k is None else k
+                         for p, k in zip(held, known)], bool)[which]
 
     def encode_long(self, piece: bytes) -> list[int]:
         """The same by positions: entry i is the last token of the first i bytes."""
@@ -248,8 +332,76 @@ class PrefixEncoder:
         return self.encode(piece + more)
 
 
-def decode(ids, tokens: dict[int, bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids))
+class TextEncoder:
+    """Encodes and decodes texts; pieces and pre-tokens are numbered, and ids gathered by numbers."""
+
+    def __init__(self, tables: dict, pattern: str):
+        self.tables, self.pattern = tables, pattern
+        self.encoder, self.split = PrefixEncoder(tables), splitter(pattern)
+        tokens = tables["tokens"]
+        self.tokens = pa.array([tokens.get(i, b"") for i in range(max(tokens) + 1)], pa.binary())
+        self.forget()
+
+    def __reduce__(self):
+        return TextEncoder, (self.tables, self.pattern)
+
+    def forget(self) -> None:
+        """Forget what is numbered: pieces with the numbers of their pre-tokens, and these with ids."""
+        self.pieces: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.inside, self.piece_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.word_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes) in a row, and where each text's begin and the last one's end."""
+        if max(len(self.words), len(self.pieces)) > REMEMBERED:
+            self.forget()
+        data, bounds = joined(texts)
+        first = piece_starts(data) if self.pattern == PATTERN else np.zeros(len(data), bool)
+        first[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(first)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        long = self._learn([p for p in distinct if p not in self.pieces])
+        number = np.fromiter(map(self.pieces.__getitem__, distinct), np.int64, len(distinct))
+        number = number[coded.indices.to_numpy()]
+        bounds = np.searchsorted(starts, bounds)
+        counts = np.diff(self.piece_ends)[number]
+        bounds = np.concatenate([[0], np.cumsum(counts)])[bounds]
+        number = self.inside[places(self.piece_ends[number], counts)]
+        counts = np.diff(self.word_ends)[number]
+        bounds = np.concatenate([[0], np.cumsum(counts)])[bounds]
+        ids = self.ids[places(self.word_ends[number], counts)]
+        if long:
+            self.forget()
+        return ids, bounds
+
+    def _learn(self, new: list[bytes]) -> bool:
+        """Number new pieces and their pre-tokens; whether there is a long one."""
+        cut = [(p,) if p.isascii() and p[p[:1] == b" ":].isalpha() else
+               tuple(w.encode() for w in self.split(p.decode())) for p in new]
+        fresh = sorted(set(chain.from_iterable(cut)).difference(self.words))
+        ids, counts = self.encoder.encode_together(fresh)
+        first = len(self.words)
+        self.words.update(zip(fresh, range(first, first + len(fresh))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.word_ends = np.append(self.word_ends, self.word_ends[-1] + np.cumsum(counts))
+        inside = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int32)
+        first = len(self.pieces)
+        self.pieces.update(zip(new, range(first, first + len(new))))
+        self.inside = np.concatenate([self.inside, inside])
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        self.piece_ends = np.append(self.piece_ends, self.piece_ends[-1] + np.cumsum(counts))
+        return any(len(p) > LONG for p in new)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Bytes of the ids of each text."""
+        tokens = self.tokens.take(pa.array(ids))
+        _, ends, held = tokens.buffers()
+        ends = np.frombuffer(ends, np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [
+            None, pa.py_buffer(ends[bounds]), pa.py_buffer(b"") if held is None else held])
 
 
 SCHEMA = "doc_id {}, ids array<int>, decoded binary"
@@ -264,33 +416,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     columns of `docs` are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    tables = shared(spark, token_tables(read_ranks(ranks_path)))
-    rows = id_and_text(docs, id_col, text_col)
+    shipped = shared(spark, TextEncoder(token_tables(read_ranks(ranks_path)), pattern))
+    rows = id_and_bytes(docs, id_col, text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = PrefixEncoder(tables.value), splitter(pattern)
-        words: dict[str, tuple[int, ...]] = {}
-        seen: dict[str, tuple[int, ...]] = {}
-        for ids, texts in slices(batches):
-            if len(words) > REMEMBERED:
-                words.clear()
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            cut = [pieces(t) for t in texts]
-            new = {p: (p,) if p.isascii() and p[0] == " " and p[1:].isalpha() else split(p)
-                   for p in set(chain.from_iterable(cut)).difference(seen)}
-            fresh = sorted(w.encode() for w in set(chain.from_iterable(new.values())).difference(words))
-            words.update(zip([w.decode() for w in fresh], map(tuple, encoder.encode_sorted(fresh))))
-            seen.update((p, tuple(chain.from_iterable(map(words.__getitem__, w))))
-                        for p, w in new.items())
-            encoded = [list(chain.from_iterable(map(seen.__getitem__, c))) for c in cut]
-            for known, one in ((words, fresh), (seen, new)):
-                for long in [p for p in one if len(p) > LONG]:
-                    known.pop(long if known is seen else long.decode(), None)
+        encoder = shipped.kept
+        for part in byte_slices(batches):
+            ids, bounds = encoder.encode(part.column("text"))
             yield pa.record_batch([
-                ids, pa.array(encoded, pa.list_(pa.int32())),
-                pa.array([decode(x, encoder.tokens) for x in encoded], pa.binary())],
-                ["doc_id", "ids", "decoded"])
+                part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
+                encoder.decode(ids, bounds)], ["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(encode, SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
 

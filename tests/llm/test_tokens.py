@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from catalink.llm import bpe, pretokens, token_counts
@@ -138,3 +141,36 @@ def test_sorted_pre_tokens_equal_the_library():
     ordered = sorted(w.encode() for w in words)
     got = list(encoder.encode_sorted(ordered))
     assert got == [own._encode_single_piece(w) for w in ordered]
+
+
+def test_cut_texts_equal_the_library_and_a_worker_keeps_its_encoder():
+    own, rng = library(), random.Random(9)
+    parts = [" ", " ", " ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "The", "B", "7", "12", "'",
+             "'s", "!", ".", "é", "ß", "漢", "й", "\x7f", "🙂", "wort", "x" * 70]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(6000)]
+    encoder = bpe.TextEncoder(bpe.token_tables(pretokens.read_ranks(RANKS)), PATTERN)
+    for at in range(0, len(texts), 2000):
+        some = texts[at:at + 2000]
+        ids, bounds = encoder.encode(pa.array([t.encode() for t in some]))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == list(map(own.encode_ordinary, some))
+        assert encoder.decode(ids, bounds).to_pylist() == [t.encode() for t in some]
+    assert bpe.PATTERN == PATTERN
+    other = bpe.TextEncoder(encoder.tables, r"\w+|\W")
+    ids, _ = other.encode(pa.array([b"wort wort,", b""]))
+    assert other.tokens.take(pa.array(ids)).to_pylist() == own.decode_tokens_bytes(
+        [i for w in ("wort", " ", "wort", ",") for i in own.encode_ordinary(w)])
+
+
+def test_new_pre_tokens_are_encoded_together():
+    """In less time than one by one, as encode() still goes through them."""
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choices("abdeiklmnoprstu", k=rng.randint(4, 14))).encode() for _ in range(30_000)})
+    tables = bpe.token_tables(pretokens.read_ranks(RANKS))
+    encoder, plain = bpe.PrefixEncoder(tables), bpe.PrefixEncoder(tables)
+    list(encoder.encode_sorted(words[:1000]))
+    start = time.process_time()
+    ids, counts = encoder.encode_together(words)
+    together = time.process_time() - start
+    start = time.process_time()
+    assert np.concatenate([plain.encode(w) for w in words]).tolist() == ids.tolist()
+    assert 1.5 * together < time.process_time() - start and counts.sum() == len(ids)
