@@ -1,9 +1,15 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from catalink.operators import factor, link
-from catalink.operators.vectorize import fit_terms, number_rows, packed, ranked_terms, term_statistics
+from catalink.operators.vectorize import (
+    fit_terms, number_rows, numbered_keys, packed, ranked_terms, term_statistics,
+)
+from catalink.plans.tables import term_corpus
+from catalink.session import CLEANUP_CONF, dropped, landed
 
 VOCABULARY = [f"w{i}" for i in range(30)]
 
@@ -213,6 +219,88 @@ def test_factors_recover_blocks(spark):
     assert len(v) == 20 and own > 0.6 > other  # d0 and d2 share some words, d0 and d1 none
 
 
+def _odd_cells():
+    """Documents with terms of their own, shared ones, equal columns, repeated cells, zeros, a null key."""
+    rng = np.random.default_rng(1)
+    cells = [("d5", 3, 1.0), ("d5", 3, 1.0), (None, 3, 1.0), (None, 5, 2.0), ("y", 7, -1.5), ("y", 8, 1.0),
+             ("z", 9000, 0.0)]
+    for d in range(80):
+        cells += [(f"d{d}", int(t), 1.5) for t in rng.choice(40, 9, replace=False)]
+        cells += [(f"d{d}", 1000 + 20 * d + t, 2.0 if t % 4 else 4.0) for t in range(20)]
+        cells += [(f"d{d}", 5000 + t + 100 * (d // 30), 3.0) for t in range(10) if d % 3 == 0]
+        cells += [(f"d{d}", 9000, 0.0), (f"d{d}", 9001, 0.5)]
+    return cells
+
+
+@pytest.mark.parametrize("rank", [3, 16])
+def test_implicit_factors_are_those_of_als(spark, monkeypatch, rank):
+    cells = spark.createDataFrame(_odd_cells(), "key string, idx int, weight double")
+    users = numbered_keys(cells, "key", "user")
+    ratings = cells.join(users, "key").select("user", "idx", F.col("weight").cast("float").alias("weight"))
+    fitted = factor.ALS(rank=rank, maxIter=3, regParam=0.05, alpha=50.0, implicitPrefs=True, userCol="user",
+                        itemCol="idx", ratingCol="weight", seed=11).fit(ratings)
+    want = {r["key"]: r["features"] for r in users.join(
+        fitted.userFactors.withColumnRenamed("id", "user"), "user").collect()}
+    rated = []
+    fit = factor.ALS.fit
+    monkeypatch.setattr(factor.ALS, "fit", lambda self, rows: rated.append(rows.count()) or fit(self, rows))
+    monkeypatch.setattr(factor, "LEAST_CELLS", 100)
+    monkeypatch.setattr(factor, "COLUMN_ROWS", 50)
+    got = {r["key"]: r["vector"] for r in factor.implicit_factors(
+        cells, "key", rank=rank, iterations=3, shift=1.0).collect()}
+    assert got.keys() == want.keys() and len(got) == 82
+    for key, vector in got.items():
+        assert np.allclose(np.array(vector) - 1.0, want[key], atol=1e-4)
+    assert rated == [82]  # the start alone is asked of ALS, which keeps a factor of every term
+
+
+def test_equal_columns_are_kept_once(spark):
+    cells = spark.createDataFrame(
+        [(t, int(k[1:]), w) for k, t, w in _odd_cells() if k and k[1:]], "item int, user int, rating float")
+    columns = factor._distinct_columns(cells)
+    want = {}
+    for row in cells.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("user", "rating"))).alias(
+            "c")).collect():
+        column = b"".join(np.int32(np.float32(r["rating"]).view(np.int32)).tobytes()
+                          + np.int32(r["user"]).tobytes() for r in row["c"])
+        want[column] = want.get(column, 0) + 1
+    assert {bytes(r["column"]): r["m"] for r in columns.collect()} == want
+    # the 1600 terms of one document each are two columns of each document
+    assert sum(m for c, m in want.items() if len(c) == 8) == 1600
+    assert len([c for c in want if len(c) == 8]) == 160
+
+
+def test_writing_a_table_leaves_no_shuffle_files(spark):
+    import time
+
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(
+            ).getAllFiles().size()
+
+    before, setting = files(), spark.conf.get(CLEANUP_CONF)
+    rows = landed(spark.range(1000).repartition(7).groupBy("id").count(), "counted")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(CLEANUP_CONF) == setting
+    assert rows.count() == 1000
+    dropped(rows)
+    assert not [f for f in rows.inputFiles() if os.path.exists(f.removeprefix("file:"))]
+
+
+def test_runs_of_words_are_not_written(spark):
+    posts = spark.createDataFrame([(1, "red green blue grey"), (2, None)], "post_id long, text string")
+    items = spark.createDataFrame([(1, "green blue grey")], "item_id long, text string")
+    p, i, model = term_corpus(posts, items, n=3)
+    assert {r["post_id"]: r["terms"] for r in p.collect()} == {1: ["red green blue", "green blue grey"], 2: []}
+    assert spark.read.parquet(*p.inputFiles()).where("post_id = 1").first()["terms"] == [
+        "red", "green", "blue", "grey"]
+    weights = {r["term"]: (r["idx"], r["weight"]) for r in model.unranked_weights(i).collect()}
+    assert set(weights) == {"green blue grey"}
+    assert model.unranked_weights(p).select("idx").distinct().count() == 2
+
+
 def test_task_functions_need_no_package_on_executors(tmp_path):
     import pickle
     import subprocess
