@@ -301,6 +301,26 @@ def test_runs_of_words_are_not_written(spark):
     assert model.unranked_weights(p).select("idx").distinct().count() == 2
 
 
+def test_terms_in_buckets_are_joined_where_they_lie(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [str(t) for t in rng.choice(VOCABULARY, 6)]) for i in range(40)],
+                                 "id long, terms array<string>")
+    plain, dealt = fit_terms(rows), fit_terms(rows, in_buckets=True)
+    assert sorted(plain.terms.collect()) == sorted(dealt.terms.collect()) and plain.size == dealt.size
+    want = {(r["id"], r["term"]): r["weight"] for r in plain.weights(rows).collect()}
+    got = dealt.unranked_weights(rows).collect()
+    assert {(r["id"], r["term"]): r["weight"] for r in got} == want and len(got) == len(want)
+    assert len({r["idx"] for r in got}) == len({(r["term"], r["idx"]) for r in got}) == plain.size
+
+    def shuffles(model):
+        known = model.terms.withColumn("idx", F.monotonically_increasing_id())
+        left = rows.select("id", F.explode("terms").alias("term"))
+        plan = left.join(known.hint("merge"), "term")._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning")
+
+    assert (shuffles(plain), shuffles(dealt)) == (2, 1)
+
+
 def test_task_functions_need_no_package_on_executors(tmp_path):
     import pickle
     import subprocess
