@@ -423,3 +423,26 @@ def test_the_index_holds_terms_in_one_buffer_and_batches_are_cut(corpus, monkeyp
     runs = pa.array([[{"term": "a", "tf": 1}] * n for n in (4, 5, 30, 0, 10, 1)] + [None])
     parts = list(vectorize.run_parts([pa.record_batch([runs], ["runs"])]))
     assert [p.num_rows for p in parts] == [2, 1, 2, 2] and sum(p.num_rows for p in parts) == 7
+
+
+@pytest.mark.parametrize("bound", [9, 25])
+def test_items_beyond_one_index_are_scored_without_pair_rows(corpus, bound, monkeypatch):
+    def pairs(*_):
+        raise AssertionError("pairs are written")
+
+    monkeypatch.setattr(link, "_joined_pairs", pairs)
+    monkeypatch.setattr(link, "TASK_CELLS", 500)
+    post_rows, item_rows, posts, items, model = corpus
+    scores = brute(post_rows, item_rows)
+    active = {p for p, _, ts in post_rows if len(set(ts)) >= 2}
+    usable = np.array([len(set(ts)) >= 2 for _, ts in item_rows])
+    kept = np.where(usable, scores, 0.0)
+    links = link.best_items(posts, items, model, min_active=2, max_entries=bound).collect()
+    assert {r["post_id"]: (r["item_id"], pytest.approx(r["similarity"], abs=1e-8)) for r in links} == {
+        p: (int(row.argmax()), row.max()) for p, row in enumerate(kept) if p in active and row.max() > 0}
+    ranks = link.true_item_ranks(posts, items, model, max_entries=bound)
+    assert ranks.schema == link.true_item_ranks(posts, items, model).schema
+    in_index = {i for i, ts in item_rows if ts}
+    assert {r["post_id"]: (r["true_item_id"], r["item_id"], r["rank"]) for r in ranks.collect()} == {
+        p: (t, int(scores[p].argmax()), int((scores[p] > scores[p, t]).sum()))
+        for p, t, _ in post_rows if scores[p].max() > 0 and t in in_index}
