@@ -446,3 +446,15 @@ def test_items_beyond_one_index_are_scored_without_pair_rows(corpus, bound, monk
     assert {r["post_id"]: (r["true_item_id"], r["item_id"], r["rank"]) for r in ranks.collect()} == {
         p: (t, int(scores[p].argmax()), int((scores[p] > scores[p, t]).sum()))
         for p, t, _ in post_rows if scores[p].max() > 0 and t in in_index}
+
+
+def test_repeated_and_missing_ids_count_as_rows_beyond_one_index_too(spark):
+    items = spark.createDataFrame([(k, [f"w{k}", "w9", "w0"]) for k in range(6)], "item_id long, terms array<string>")
+    posts = spark.createDataFrame(
+        [(1, 2, ["w2", "w9"]), (1, 2, ["w2", "w9"]), (1, 3, ["w4"]), (None, 5, ["w5", "w0"]), (7, None, ["w1"])],
+        "post_id long, true_item_id long, terms array<string>")
+    model = fit_terms(posts.select("terms").unionAll(items.select("terms")))
+    for make in (link.best_items, link.true_item_ranks):
+        rows = [sorted(map(str, make(posts.coalesce(1), items, model, **bound).collect()))
+                for bound in ({}, {"max_entries": 5})]
+        assert rows[0] == rows[1]
